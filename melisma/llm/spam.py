@@ -18,9 +18,14 @@ SHARE = 0.5
 BLOCK = 1200
 #: A block is redundant if it compresses to less than this share of what prose of its length and language does.
 REDUNDANT = 0.92
+#: A block of any text, sentences included, is stuffed if it compresses to less than this share, and its different sentences to less than DISTINCT.
+EXTREME, DISTINCT = 0.68, 0.85
 #: A segment with this share of function words or more is running text (prose or lyrics), whatever its punctuation.
 FUNCTION_SHARE = 0.2
 
+#: A line of verse has so many words at most.
+VERSE_WORDS = 12
+
 # Zlib ratio of ordinary prose as a + b * length ** -0.5 (bytes), by language; measured on running text.
 PROSE = {"en": (0.36, 6.0), "de": (0.36, 6.0), "fr": (0.34, 6.0), "es": (0.34, 6.0), "zh": (0.40, 6.0), "ja": (0.33, 6.0)}
 
@@ -39,7 +44,7 @@ _HIDDEN = re.compile("[​-‏⁠﻿­]")
 _LEET = str.maketrans("013457@$", "oieastas")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _END = re.compile(r"(?<=[.!?…])[\"'»”)]*\s+|(?<=[。！？])")
-_TOKENS = re.compile(r"^(?:[A-Z]{2,}(?:_[A-Z0-9]+)*\s*)+$")
+_TOKENS = re.compile(r"^[A-Z]{2,}(?:_[A-Z0-9]+)*(?:\s+[A-Z]{2,}(?:_[A-Z0-9]+)*)*\s*$")
 _CHORD = r"[A-G](?:[#b♯♭])?(?:m|maj|min|dim|aug|sus)?\d{0,2}(?:sus\d|add\d)?(?:/[A-G][#b♯♭]?)?"
 _CHORDS = re.compile(rf"^[\s|:.\-]*{_CHORD}(?:[\s|:.\-]+{_CHORD})*[\s|:.\-]*$")
 _LABEL = re.compile(r"^\[[^\]]{1,24}\]$|^#{1,6}\s|^==+\s|^v?\d+(?:\.\d+)+\b")
@@ -47,6 +52,7 @@ _NUMBERS = re.compile(r"^[\w .%/-]*(?:[,;\t|][\w .%/-]*){2,}$")
 _TRACK = re.compile(r"^\s*\d{1,3}[.)]\s.*\d{1,2}:\d{2}\s*$")
 _TAG = re.compile(r"#[^\W\d_][\w-]*")
 _PRICE = re.compile(r"[$€£¥]\s?\d[\d.,]*|\d[\d.,]*\s?[$€£¥]|-\d+\s?%|\bSKU\b\s*[\w-]*", re.I)
+_RUN = re.compile(r"(.)\1{3,}", re.S)
 _CHANGE = re.compile(r"^\s*[-*+•]\s+\w+(?:\s+\w+){1,6}$")
 
 
@@ -69,7 +75,7 @@ def _running(words: list[str]) -> float:
 
 
 def segments(text: str) -> list[tuple[str, str]]:
-    """(kind, text) of the pieces of a text: 'prose', 'music' (structured content), 'link', 'tag' or 'loose' (unpunctuated words)."""
+    """(kind, text) of the pieces of a text: 'prose', 'verse' (unpunctuated lines that run, as in lyrics), 'music' (structured content), 'link', 'tag' or 'loose' (unpunctuated words)."""
     out: list[tuple[str, str]] = []
     after_version = False
     for line in text.split("\n"):
@@ -103,14 +109,13 @@ def segments(text: str) -> list[tuple[str, str]]:
         if re.match(r"^(?:#{1,6}\s|==+\s)", line):
             out.append(("prose", line))
             continue
-        for part in _END.split(line):
-            if not part or not part.strip():
-                continue
+        sentences = [x for x in _END.split(line) if x and x.strip()]
+        for part in sentences:
             words = [_word(w) for w in re.findall(r"[\w@$]+(?:'\w+)?", part.lower())]
             cjk = len(_CJK.findall(part))
             ended = re.search(r"[.!?…。！？][\"'»”)]*\s*$", part) is not None
             if ended and (len(words) >= 4 and not cjk or cjk >= 6) or not cjk and len(words) >= 4 and _running(words) >= FUNCTION_SHARE or cjk and re.search("[。！？]", part):
-                out.append(("prose", part))
+                out.append(("verse" if len(sentences) == 1 and not ended and not cjk and len(words) <= VERSE_WORDS else "prose", part))
             else:
                 out.append(("loose", " ".join(words) if not cjk else part))
     return out
@@ -137,29 +142,51 @@ def language(lang: str | None, text: str) -> str:
     return (lang or "en")[:2].lower()
 
 
+def _blocks(parts: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
+    """(index, text) of segments -> runs of BLOCK characters or more; a short rest joins the block before, so that no block is too short to measure."""
+    blocks: list[list[tuple[int, str]]] = []
+    now: list[tuple[int, str]] = []
+    for part in parts:
+        now.append(part)
+        if sum(len(t) + 1 for _, t in now) >= BLOCK:
+            blocks.append(now)
+            now = []
+    if now:
+        if blocks and sum(len(t) + 1 for _, t in now) < BLOCK // 3:
+            blocks[-1] += now
+        else:
+            blocks.append(now)
+    return blocks
+
+
+def stuffed(block: list[str], lang: str | None) -> bool:
+    """Whether a block is extremely redundant, punctuated or not; a passage of prose that is only repeated isn't, since its different sentences are ordinary."""
+    whole = _RUN.sub(r"\1", "\n".join(block))
+    by = language(lang, whole)
+    if redundancy(whole, by) >= EXTREME:
+        return False
+    return redundancy(_RUN.sub(r"\1", "\n".join(dict.fromkeys(t.lower() for t in block))), by) < DISTINCT
+
+
 def spam_share(text: str, lang: str | None) -> float:
-    """Share of a text's letters that stands in redundant blocks of loose words, links or tags without sentence punctuation."""
+    """Share of a text's letters that stands in redundant blocks.
+
+    Redundancy is measured twice: over everything but verse and structured content, where only extreme redundancy
+    counts, whatever the punctuation; and over loose words, links and tags, where missing sentences confirm a lesser one.
+    """
     parts = segments(unveil(text))
     total = sum(_size(t) for _, t in parts)
     if not total:
         return 0.0
-    suspect, bad = "", 0
-    blocks: list[str] = []
-    for kind, t in parts:
-        if kind in ("link", "tag", "loose"):
-            suspect += t + "\n"
-            if len(suspect) >= BLOCK:
-                blocks.append(suspect)
-                suspect = ""
-    if suspect:  # the rest joins the block before, so that no block is too short to measure
-        if blocks and len(suspect) < BLOCK // 3:
-            blocks[-1] += suspect
-        else:
-            blocks.append(suspect)
-    for block in blocks:
-        if redundancy(block, language(lang, block)) < REDUNDANT or len(_LINK.findall(block)) * 40 >= len(block) * 0.3:
-            bad += _size(block)
-    return bad / total
+    bad: set[int] = set()
+    for block in _blocks([(i, t) for i, (kind, t) in enumerate(parts) if kind not in ("music", "verse")]):
+        if stuffed([t for _, t in block], lang):
+            bad.update(i for i, _ in block)
+    for block in _blocks([(i, t) for i, (kind, t) in enumerate(parts) if kind in ("link", "tag", "loose")]):
+        plain = "".join(t + "\n" for _, t in block)
+        if redundancy(plain, language(lang, plain)) < REDUNDANT or len(_LINK.findall(plain)) * 40 >= len(plain) * 0.3:
+            bad.update(i for i, _ in block)
+    return sum(_size(parts[i][1]) for i in bad) / total
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,29 @@
+from melisma.llm import spam
+
+STUFFED = (
+    "Get hot karaoke discs here. More hot karaoke discs, less hot karaoke discs, always hot karaoke discs! "
+    "Our hot karaoke discs are the hot karaoke discs for you! Who needs hot karaoke discs? You need hot karaoke discs. "
+    "instant piano tabs and hot karaoke discs today. "
+)
+PROSE = (
+    "We listened to the slow movement twice and could not agree on its key. If you transpose it by six semitones, the top note leaves the range of the clarinet. "
+    "Bar 62 holds more notes than the whole introduction, which nobody noticed until the rehearsal. She rewrote the guitar line for a smaller hand. "
+    "The checkpoint ends its phrases too early, so the next run uses longer windows and a lower learning rate."
+)
+LYRICS = "\n".join(
+    f"{a} {b} by the {c} {d}" for a, b in (("She hums", "home"), ("They wait", "still"), ("We ran", "late"), ("I sat", "home")) for c in ("tall", "grey", "slow") for d in ("ferry", "meadow")
+)
+
+
+def test_punctuated_stuffing_is_flagged():
+    assert spam.spam_share(STUFFED * 4, "en") > spam.SHARE
+
+
+def test_prose_lyrics_and_a_repeated_passage_are_not():
+    assert spam.spam_share(PROSE, "en") == 0
+    assert spam.spam_share(PROSE + "\n" + PROSE, "en") == 0
+    assert spam.spam_share(LYRICS, "en") == 0
+
+
+def test_long_token_listing_ends():
+    assert spam.segments("BOS TEMPO_122 " + "BAR POS_7 INST_BASS PITCH_79 " * 40 + "a")
