@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.llm import mix, names, near, pack, pieces, splits, text
+from melisma.llm import mix, names, near, pack, pieces, spam, splits, text
 from melisma.tables import table
 
 
@@ -90,5 +90,9 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mixture_shares(p8_mixture(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_pieces, p3_found, p4_found, p4_splits, p5_found, p5_packed, p5_report, p6_found, p6_classes, p7_ids, p7_decoded, p7_spans, p8_mixture, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_pieces, p3_found, p4_found, p4_splits, p5_found, p5_packed, p5_report, p6_found, p6_classes, p7_ids, p7_decoded, p7_spans, p8_mixture, p8_shares, p9_found)}

@@ -27,3 +27,10 @@ def test_prose_lyrics_and_a_repeated_passage_are_not():
 
 def test_long_token_listing_ends():
     assert spam.segments("BOS TEMPO_122 " + "BAR POS_7 INST_BASS PITCH_79 " * 40 + "a")
+
+
+def test_p9_found_lists_the_stuffed_document(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    spark.createDataFrame([(1, STUFFED * 4, "en"), (2, PROSE, "en"), (3, None, None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in queries()["p9_found"](spark, str(tmp_path)).collect()] == [1]
