@@ -1,9 +1,8 @@
-"""Near-duplicate note records: MinHash, Bayesian candidate pruning, exact verification (problem 6)."""
+"""Near-duplicate note records: exact join on pitch counts, exact verification (problem 6)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +18,13 @@ UNITS = 1920
 TOLERANCE = UNITS // 8
 #: Share of the larger record's notes that must have partners.
 SHARE = 0.7
-#: MinHash bands and rows a band; a signature has BANDS * ROWS values of 16 bits.
-BANDS, ROWS = 40, 3
-HASHES = BANDS * ROWS
-#: Pitch-trigram similarity that a pair at SHARE reaches even when its edits are spread as badly as possible:
-#: 0.7 ** 3 of the trigrams survive in either record, 0.343 / (2 - 0.343).
-LEAST_JACCARD = 0.2
-#: A pair is dropped once the posterior probability of LEAST_JACCARD or more falls below this.
-EPSILON = 0.005
-#: Hash values compared between two looks at the posterior.
-CHUNK = 20
+#: Pitches are counted in so many bins (higher ones fold onto lower), and first compared in so many coarse bins.
+BINS, COARSE = 128, 16
+#: Records compared with each other at once; a task holds the pitch counts of two such blocks.
+BLOCK = 8192
 #: A passage that stands elsewhere must hold this share of the larger record's notes, and this many notes.
 PASSAGE_SHARE, PASSAGE_NOTES = 0.12, 8
-#: Each row of a band bucket is linked to the bucket's first row and to so many rows before it.
-REACH = 3
 
-_RNG = np.random.RandomState(20240229)
-_MULT = (_RNG.randint(0, 2**62, HASHES, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _RNG.randint(0, 2**62, HASHES, dtype=np.int64).astype(np.uint64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -47,43 +35,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def least_matches(chunk: int = CHUNK, total: int = HASHES, t: float = LEAST_JACCARD, eps: float = EPSILON) -> list[tuple[int, int]]:
-    """For n = chunk, 2 chunk, ...: the fewest equal hash values with P(J >= t | matches, n) >= eps under a uniform prior.
-
-    With a Beta(1, 1) prior the posterior is Beta(m + 1, n - m + 1), whose upper tail at t is a binomial sum.
-    """
-    out = []
-    for n in range(chunk, total + 1, chunk):
-        tail, m = 0.0, 0
-        while m <= n:
-            tail += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-            if tail >= eps:
-                break
-            m += 1
-        out.append((n, m))
-    return out
-
-
 def signature_columns(file_id: np.ndarray, onset: np.ndarray, pitch: np.ndarray) -> pa.RecordBatch:
     """Rows of one or more whole records, sorted by file, onset and pitch -> one row per record."""
     start = np.flatnonzero(np.r_[True, file_id[1:] != file_id[:-1]])
     size = np.diff(np.r_[start, len(file_id)])
     rel = onset - np.repeat(onset[start], size)
-    p = pitch.astype(np.uint64)
-    exact = np.add.reduceat(_mix(rel.astype(np.uint64) * np.uint64(131) + p + np.uint64(1)), start)
+    exact = np.add.reduceat(_mix(rel.astype(np.uint64) * np.uint64(131) + pitch.astype(np.uint64) + np.uint64(1)), start)
     exact = _mix(exact ^ _mix(size.astype(np.uint64)))
-    # pitch trigrams; the last two of a record fall back to its shorter tails, which only records under 3 notes keep
-    end = np.repeat(start + size, size)
-    at = np.arange(len(p))
-    p1 = np.where(at + 1 < end, p[np.minimum(at + 1, len(p) - 1)], np.uint64(255))
-    p2 = np.where(at + 2 < end, p[np.minimum(at + 2, len(p) - 1)], np.uint64(255))
-    gram = _mix(p | (p1 << np.uint64(8)) | (p2 << np.uint64(16)) | np.uint64(1 << 40))
-    keep = (at + 2 < end) | (np.repeat(size, size) < 3)
-    kept = np.add.reduceat(keep.astype(np.int64), start)
-    gram, first = gram[keep], np.r_[0, np.cumsum(kept)[:-1]]
-    sig = np.empty((len(start), HASHES), dtype=np.uint16)
-    for k in range(HASHES):
-        sig[:, k] = np.minimum.reduceat((gram * _MULT[k] + _ADD[k]) >> np.uint64(24), first) & np.uint64(0xFFFF)
     on, pi = onset.astype(np.int32), pitch.astype(np.uint8)
     cut = list(zip(start.tolist(), (start + size).tolist()))
     return pa.RecordBatch.from_arrays(
@@ -91,15 +49,14 @@ def signature_columns(file_id: np.ndarray, onset: np.ndarray, pitch: np.ndarray)
             pa.array(file_id[start]),
             pa.array(size.astype(np.int32)),
             pa.array(exact.view(np.int64)),
-            pa.array([row.tobytes() for row in sig], pa.binary()),
             pa.array([on[a:b].tobytes() for a, b in cut], pa.binary()),
             pa.array([pi[a:b].tobytes() for a, b in cut], pa.binary()),
         ],
-        names=["file_id", "n", "exact", "sig", "onset", "pitch"],
+        names=["file_id", "n", "exact", "onset", "pitch"],
     )
 
 
-_SIGNED = "file_id long, n int, exact long, sig binary, onset binary, pitch binary"
+_SIGNED = "file_id long, n int, exact long, onset binary, pitch binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,57 +94,88 @@ def counted_notes(notes: DataFrame) -> DataFrame:
 
 
 def signed_records(records: DataFrame, notes: DataFrame) -> DataFrame:
-    """One row per current record with notes: file_id, n, exact (hash of its notes), sig, onset, pitch."""
+    """One row per current record with notes: file_id, n, exact (hash of its notes), onset, pitch."""
     tpb = current_rows(records.select("file_id", "ingested_at", "ticks_per_beat"), "file_id", "ingested_at").selectExpr("file_id", "cast(coalesce(ticks_per_beat, 480) as double) as tpb").where("tpb > 0")
     return counted_notes(notes).join(tpb, "file_id").repartition("file_id").sortWithinPartitions("file_id").mapInArrow(_sign, _SIGNED)
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, BANDS, ROWS).astype(np.int64)
-        key = (np.arange(BANDS, dtype=np.int64) << 48) | (sig[:, :, 0] << 32) | (sig[:, :, 1] << 16) | sig[:, :, 2]
-        near = np.roll(sig[:, :, 0], 1, axis=1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(near.ravel()), pa.array(np.repeat(ids, BANDS))], names=["key", "near", "id"])
+def _least(n: np.ndarray | int) -> np.ndarray | int:
+    """SHARE of n, a hair lower, so that rounding never drops a pair."""
+    return SHARE * n - 1e-6
+
 
+def size_blocks(counts: list[tuple[int, int]], rows: int = BLOCK) -> list[tuple[int, int, int]]:
+    """(notes, records with so many notes), ascending -> (least notes, most notes, parts) of runs of about `rows` records.
 
-def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: each bucket's rows are linked to its first row and the REACH rows before, in one pass with constant state."""
-    tail = [np.empty(0, np.int64), np.empty(0, np.int64)]  # keys and ids of the last rows, whose first is the open bucket's head
-    head: tuple[int, int] | None = None
+    A single number of notes that has more records is cut in parts by hash.
+    """
+    out: list[tuple[int, int, int]] = []
+    held = 0
+    for n, k in counts:
+        if out and held + k <= rows:
+            out[-1] = (out[-1][0], n, 1)
+            held += k
+        else:
+            out.append((n, n, -(-k // rows)))
+            held = k
+    return out
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
+        counts = [np.bincount(np.frombuffer(p, np.uint8) % BINS, minlength=BINS).astype(np.int32).tobytes() for p in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary())], names=["file_id", "n", "counts"])
+
+
+def alike(n_a: np.ndarray, count_a: np.ndarray, n_b: np.ndarray, count_b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of a, rows of b) whose pitch counts have SHARE of the larger record in common, as every case of `is_case` must."""
+    order = np.argsort(n_b, kind="stable")
+    n_b, count_b = n_b[order], count_b[order]
+    coarse_a, coarse_b = (c.reshape(len(c), COARSE, -1).sum(axis=2, dtype=np.int32) for c in (count_a, count_b))
+    lo = np.searchsorted(n_b, _least(n_a))
+    hi = np.searchsorted(n_b, (n_a + 1e-6) / SHARE, side="right")
+    for i in range(len(n_a)):
+        if lo[i] == hi[i]:
             continue
-        k = np.concatenate([tail[0], batch.column(0).to_numpy(zero_copy_only=False)])
-        i = np.concatenate([tail[1], batch.column(2).to_numpy(zero_copy_only=False)])
-        old = len(tail[0])
-        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        run = np.repeat(first, np.diff(np.r_[first, len(k)]))
-        heads = i[run]
-        if head is not None:
-            heads = np.where(k == head[0], head[1], heads)
-        new = np.arange(old, len(k))
-        pairs = [(heads[new], i[new])]
-        for d in range(1, REACH + 1):
-            at = new[new >= d]
-            at = at[k[at] == k[at - d]]
-            pairs.append((i[at - d], i[at]))
-        a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        lo, hi = lo[a != b], hi[a != b]
-        if len(lo):
-            u = np.unique(np.stack([lo, hi], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0].copy()), pa.array(u[:, 1].copy())], names=["a", "b"])
-        head = (int(k[-1]), int(heads[-1]))
-        tail = [k[-REACH:], i[-REACH:]]
+        need = _least(np.maximum(n_b[lo[i] : hi[i]], n_a[i]))
+        at = np.flatnonzero(np.minimum(coarse_b[lo[i] : hi[i]], coarse_a[i]).sum(axis=1) >= need)
+        at = at[np.minimum(count_b[lo[i] + at], count_a[i]).sum(axis=1) >= need[at]]
+        if len(at):
+            yield i, order[lo[i] + at]
+
+
+def _join_block(key: tuple, group: pa.Table) -> pa.Table:
+    """The rows of two blocks (or of one, with itself) -> pairs alike in their pitch counts."""
+    group = group.combine_chunks()
+    ids, n, side = (group.column(c).to_numpy() for c in ("file_id", "n", "side"))
+    counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int32).reshape(-1, BINS)
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1) if key[0].as_py() != key[1].as_py() else x
+    lo, hi = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, js in alike(n[x], counts[x], n[y], counts[y]):
+        one, other = ids[x[i]], ids[y[js]]
+        if x is y:
+            other = other[other > one]
+        lo.append(np.minimum(one, other))
+        hi.append(np.maximum(one, other))
+    return pa.table({"a": pa.array(np.concatenate(lo), pa.int64()), "b": pa.array(np.concatenate(hi), pa.int64())})
 
 
 def candidate_links(signed: DataFrame) -> DataFrame:
-    """`file_id`, `sig` -> distinct `a` < `b` of records that share a band: linear in the bucket, not all its pairs."""
-    rows = signed.select("file_id", "sig").mapInArrow(_band_rows, "key long, near int, id long")
-    return rows.repartition("key").sortWithinPartitions("key", "near", "id").mapInArrow(_link_rows, "a long, b long").distinct()
+    """`file_id`, `n`, `pitch` -> `a` < `b`: every two records that can be a case by their pitch counts; none is left to chance.
+
+    Records are cut in blocks by their number of notes, and each block is compared with those whose numbers are near enough.
+    The comparisons grow with the square of the records, at well under a microsecond each.
+    """
+    blocks = size_blocks([(r["n"], r["k"]) for r in signed.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").collect()])
+    parts = [(lo, hi, k, of) for lo, hi, of in blocks for k in range(of)]
+    spark = signed.sparkSession
+    meets = [(x, y) for x in range(len(parts)) for y in range(x, len(parts)) if parts[x][1] >= _least(parts[y][0])]
+    places = [(*parts[v], x, y, side) for x, y in meets for side, v in enumerate((x, y)) if side == 0 or x != y]
+    where = spark.createDataFrame(places, "lo int, hi int, part int, parts int, x int, y int, side int")
+    rows = signed.select("file_id", "n", "pitch").mapInArrow(_count_rows, "file_id long, n int, counts binary")
+    placed = rows.join(F.broadcast(where), F.expr("n BETWEEN lo AND hi AND part = pmod(xxhash64(file_id), parts)"))
+    return placed.select("x", "y", "side", "file_id", "n", "counts").groupBy("x", "y").applyInArrow(_join_block, "a long, b long")
 
 
 def matched_notes(on_a: np.ndarray, p_a: np.ndarray, on_b: np.ndarray, p_b: np.ndarray) -> int:
@@ -229,20 +217,6 @@ def is_case(on_a: np.ndarray, p_a: np.ndarray, on_b: np.ndarray, p_b: np.ndarray
     return big > 0 and min(len(p_a), len(p_b)) >= SHARE * big and matched_notes(on_a, p_a, on_b, p_b) >= SHARE * big
 
 
-def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Incremental comparison: after every CHUNK hash values the pairs below the posterior's least match count are dropped."""
-    table = least_matches()
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        s = [np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=np.uint16).reshape(-1, HASHES) for n in (2, 3)]
-        alive, same = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-        for n, least in table:
-            same[alive] += (s[0][alive, n - CHUNK : n] == s[1][alive, n - CHUNK : n]).sum(axis=1)
-            alive = alive[same[alive] >= least]
-        yield batch.select([0, 1]).take(pa.array(alive))
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -269,15 +243,14 @@ def verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 def music_links(records: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed, members, links).
 
-    members: `file_id`, `rep` - the smallest file_id with exactly the same notes. links: verified `a` < `b` between such
-    representatives, linear in the size of each bucket; every class of similar records is connected through them.
+    members: `file_id`, `rep` - the smallest file_id with exactly the same notes. links: every verified `a` < `b` between
+    such representatives.
     """
     signed = materialise(signed_records(records, notes), "signed")
     least = signed.groupBy("exact", "n").agg(F.min("file_id").alias("rep"))
     members = materialise(signed.select("file_id", "exact", "n").join(least, ["exact", "n"]).select("file_id", "rep"), "members")
     reps = signed.join(members.where("file_id = rep").select("file_id"), "file_id", "left_semi")
-    pruned = _with_both(candidate_links(reps), signed, ["sig"]).mapInArrow(_prune, "a long, b long")
-    return signed, members, materialise(verified(pruned, signed), "links")
+    return signed, members, materialise(verified(candidate_links(reps), signed), "links")
 
 
 def class_pairs(signed: DataFrame, links: DataFrame) -> DataFrame:

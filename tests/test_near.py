@@ -1,0 +1,29 @@
+import numpy as np
+
+from melisma.llm import near
+
+
+def tables(spark, records):
+    """(onset in quarter beats, pitch) lists by file_id -> file_records, note_events."""
+    files = spark.createDataFrame([(f, "2024-01-01", 480) for f in records], "file_id long, ingested_at string, ticks_per_beat int")
+    notes = [(f, 0, 0, int(o) * 120, int(o) * 120 + 60, int(p)) for f, rows in records.items() for o, p in rows]
+    return files, spark.createDataFrame(notes, "file_id long, track_idx int, channel int, start_tick long, end_tick long, pitch int")
+
+
+def scattered(rng, size=60, share=0.28):
+    base = list(zip(range(size), rng.randint(40, 90, size).tolist()))
+    hit = set(rng.choice(size, int(size * share), replace=False).tolist())
+    return base, [(o, p + 1 if o in hit else p) for o, p in base]
+
+
+def test_scattered_edits_are_found(spark):
+    rng = np.random.RandomState(7)
+    records = {}
+    for k in range(40):
+        records[2 * k], records[2 * k + 1] = scattered(rng)
+    found = {tuple(r) for r in near.same_music_pairs(*tables(spark, records)).collect()}
+    assert found == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
+def test_blocks_cover_every_compatible_pair():
+    assert near.size_blocks([(10, 3), (11, 2), (12, 9)], rows=5) == [(10, 11, 1), (12, 12, 2)]
