@@ -131,14 +131,22 @@ def alike(n_a: np.ndarray, count_a: np.ndarray, n_b: np.ndarray, count_b: np.nda
     """(row of a, rows of b) whose pitch counts have SHARE of the larger record in common, as every case of `is_case` must."""
     order = np.argsort(n_b, kind="stable")
     n_b, count_b = n_b[order], count_b[order]
-    coarse_a, coarse_b = (c.reshape(len(c), COARSE, -1).sum(axis=2, dtype=np.int32) for c in (count_a, count_b))
+    # coarse bins of about equal weight; one array for each bin, since short rows add up slowly
+    mass = count_b.sum(axis=0, dtype=np.int64).cumsum()
+    group = np.minimum((mass * COARSE - 1) // max(1, int(mass[-1])), COARSE - 1)
+    coarse_a = np.stack([count_a[:, group == g].sum(axis=1, dtype=np.int32) for g in range(COARSE)], axis=1)
+    coarse_b = np.stack([count_b[:, group == g].sum(axis=1, dtype=np.int32) for g in range(COARSE)])
+    need_b = _least(n_b)
     lo = np.searchsorted(n_b, _least(n_a))
     hi = np.searchsorted(n_b, (n_a + 1e-6) / SHARE, side="right")
     for i in range(len(n_a)):
         if lo[i] == hi[i]:
             continue
-        need = _least(np.maximum(n_b[lo[i] : hi[i]], n_a[i]))
-        at = np.flatnonzero(np.minimum(coarse_b[lo[i] : hi[i]], coarse_a[i]).sum(axis=1) >= need)
+        need = np.maximum(need_b[lo[i] : hi[i]], _least(n_a[i]))
+        common = np.minimum(coarse_b[0, lo[i] : hi[i]], coarse_a[i, 0])
+        for g in range(1, COARSE):
+            common += np.minimum(coarse_b[g, lo[i] : hi[i]], coarse_a[i, g])
+        at = np.flatnonzero(common >= need)
         at = at[np.minimum(count_b[lo[i] + at], count_a[i]).sum(axis=1) >= need[at]]
         if len(at):
             yield i, order[lo[i] + at]
@@ -240,8 +248,8 @@ def verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return _with_both(pairs, signed, ["onset", "pitch"]).mapInArrow(_verify, "a long, b long")
 
 
-def music_links(records: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signed, members, links).
+def music_links(records: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, links).
 
     members: `file_id`, `rep` - the smallest file_id with exactly the same notes. links: every verified `a` < `b` between
     such representatives.
@@ -250,19 +258,7 @@ def music_links(records: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFr
     least = signed.groupBy("exact", "n").agg(F.min("file_id").alias("rep"))
     members = materialise(signed.select("file_id", "exact", "n").join(least, ["exact", "n"]).select("file_id", "rep"), "members")
     reps = signed.join(members.where("file_id = rep").select("file_id"), "file_id", "left_semi")
-    return signed, members, materialise(verified(candidate_links(reps), signed), "links")
-
-
-def class_pairs(signed: DataFrame, links: DataFrame) -> DataFrame:
-    """All verified pairs of representatives: the links, and every other pair of one class, each verified exactly.
-
-    Only classes found similar are expanded, so the work follows the result's size.
-    """
-    cls = materialise(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "classes")
-    x = cls.select(F.col("root"), F.col("node").alias("a"))
-    y = cls.select(F.col("root"), F.col("node").alias("b"))
-    rest = x.join(y, "root").where("a < b").select("a", "b").join(links, ["a", "b"], "left_anti")
-    return links.select("a", "b").unionByName(verified(rest, signed))
+    return members, materialise(verified(candidate_links(reps), signed), "links")
 
 
 def same_music_pairs(records: DataFrame, notes: DataFrame) -> DataFrame:
@@ -270,8 +266,7 @@ def same_music_pairs(records: DataFrame, notes: DataFrame) -> DataFrame:
 
     Records without countable notes have no pairs; an empty table gives no rows; extra columns are ignored.
     """
-    signed, members, links = music_links(records, notes)
-    rep_pairs = class_pairs(signed, links)
+    members, rep_pairs = music_links(records, notes)
     ma = members.select(F.col("rep").alias("a"), F.col("file_id").alias("fa"))
     mb = members.select(F.col("rep").alias("b"), F.col("file_id").alias("fb"))
     between = rep_pairs.join(ma, "a").join(mb, "b").select("fa", "fb")
@@ -281,7 +276,7 @@ def same_music_pairs(records: DataFrame, notes: DataFrame) -> DataFrame:
 
 def music_classes(records: DataFrame, notes: DataFrame) -> DataFrame:
     """`file_id`, `class_id` (smallest file_id of the class), `links` (verified links of its representative): one row per record with notes."""
-    _, members, links = music_links(records, notes)
+    members, links = music_links(records, notes)
     ends = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     cls = components(ends)
     degree = ends.select(F.explode(F.array("src", "dst")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from melisma.llm.names import name_classes
-from melisma.llm.near import class_pairs, music_links
+from melisma.llm.near import music_links
 from melisma.operators.graph import components
 from melisma.tables import current_rows, materialise
 
@@ -50,8 +50,7 @@ def overlap_pairs(records: DataFrame, notes: DataFrame) -> DataFrame:
     """
     cur = materialise(current_records(records), "current")
     side = cur.where("split IN ('train', 'valid', 'test', 'eval')").select("file_id", F.expr("split = 'train'").alias("train"))
-    signed, members, links = music_links(records, notes)
-    rep_pairs = class_pairs(signed, links)
+    members, rep_pairs = music_links(records, notes)
     placed = materialise(members.join(side, "file_id").select("rep", "file_id", "train"), "placed")
     train = placed.where("train").select("rep", F.col("file_id").alias("t"))
     held = placed.where("NOT train").select("rep", F.col("file_id").alias("h"))
@@ -83,7 +82,7 @@ def related_groups(records: DataFrame, notes: DataFrame) -> DataFrame:
     """
     cur = materialise(current_records(records), "current")
     named = materialise(_named(cur, name_classes(records)), "named")
-    _, members, links = music_links(records, notes)
+    members, links = music_links(records, notes)
 
     def star(df: DataFrame, key: str) -> DataFrame:
         """Each record of a key -> the key's smallest record."""

@@ -27,3 +27,16 @@ def test_scattered_edits_are_found(spark):
 
 def test_blocks_cover_every_compatible_pair():
     assert near.size_blocks([(10, 3), (11, 2), (12, 9)], rows=5) == [(10, 11, 1), (12, 12, 2)]
+
+
+def test_pairs_are_found_among_many_records_of_one_motif(spark):
+    rng = np.random.RandomState(3)
+    motif = [60, 62, 64, 65, 67, 65, 64, 62] * 2
+    records = {}
+    for k in range(150):  # records of different works that share the motif
+        records[k] = list(enumerate(motif + rng.randint(30, 100, 44).tolist()))
+    for k in range(30):
+        hit = set(rng.choice(np.arange(16, 60), 16, replace=False).tolist())
+        records[900 + k] = [(o, p + 1 if o in hit else p) for o, p in records[k]]
+    found = {tuple(r) for r in near.same_music_pairs(*tables(spark, records)).collect()}
+    assert found == {(k, 900 + k) for k in range(30)}
