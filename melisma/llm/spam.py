@@ -136,9 +136,9 @@ def redundancy(block: str, lang: str) -> float:
 
 def language(lang: str | None, text: str) -> str:
     """The language a block is measured by: by script where that settles it, else by the label."""
-    cjk = len(_CJK.findall(text[:2000]))
+    cjk = len(_CJK.findall(text))
     if cjk > 40 or cjk * 5 > len(text):
-        return "ja" if re.search("[぀-ヿ]", text[:2000]) else "zh"
+        return "ja" if re.search("[぀-ヿ]", text) else "zh"
     return (lang or "en")[:2].lower()
 
 
@@ -174,7 +174,7 @@ def spam_share(text: str, lang: str | None) -> float:
     Redundancy is measured twice: over everything but verse and structured content, where only extreme redundancy
     counts, whatever the punctuation; and over loose words, links and tags, where missing sentences confirm a lesser one.
     """
-    parts = segments(unveil(text))
+    parts = [(kind, t[i : i + BLOCK]) for kind, t in segments(unveil(text)) for i in range(0, len(t), BLOCK)]
     total = sum(_size(t) for _, t in parts)
     if not total:
         return 0.0

@@ -34,3 +34,15 @@ def test_p9_found_lists_the_stuffed_document(spark, tmp_path):
 
     spark.createDataFrame([(1, STUFFED * 4, "en"), (2, PROSE, "en"), (3, None, None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r.doc_id for r in queries()["p9_found"](spark, str(tmp_path)).collect()] == [1]
+
+
+def test_script_is_judged_over_the_whole_block():
+    assert spam.language("en", "a b " * 600 + "这个文件共有音符" * 100) == "zh"
+
+
+def test_a_long_line_is_measured_block_by_block():
+    import random
+
+    words = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=7)) for k in range(2000)]
+    line = " ".join(words[:600]) + " " + "hot karaoke discs " * 120
+    assert 0.2 < spam.spam_share(line, "en") < 0.5
