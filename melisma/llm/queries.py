@@ -96,3 +96,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_pieces, p3_found, p4_found, p4_splits, p5_found, p5_packed, p5_report, p6_found, p6_classes, p7_ids, p7_decoded, p7_spans, p8_mixture, p8_shares, p9_found)}
+
+
+def twins() -> dict[str, str]:
+    """SQL twins: problem 2's cases; the other problems have none."""
+    newest = "n AS (SELECT seq_id, max(analysed_at) AS analysed_at FROM (SELECT seq_id, analysed_at FROM bar_info UNION ALL SELECT seq_id, analysed_at FROM phrase_spans) GROUP BY seq_id)"
+    ends = "e AS (SELECT seq_id, end_token FROM bar_info JOIN n USING (seq_id, analysed_at) UNION ALL SELECT seq_id, end_token FROM phrase_spans JOIN n USING (seq_id, analysed_at))"
+    return {"p2_found": f"WITH {newest}, {ends} SELECT seq_id FROM e GROUP BY seq_id HAVING max(end_token) > (SELECT max(tokens) FROM size_limits WHERE limit_name = 'context_window')"}
