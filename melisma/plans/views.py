@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.operators.tokens import grid, note_rows
+from melisma.functions import numeric as N
+from melisma.operators.tokens import grid, note_rows, token_stream
 from melisma.tables import current_rows, table
 
 _RECORD = "rel_path midi_path artist title family_key content_hash note_count duration_sec ticks_per_beat bpm_median source split scanned_at".split()
@@ -106,3 +107,54 @@ def checkpoints(spark: SparkSession, d: str) -> DataFrame:
     )
     named = rows.withColumn("structural", F.expr("CASE WHEN step % 7 <> 0 THEN structural END"))
     return named.withColumn("checkpoint", F.concat(F.lit("step_"), F.col("step").cast("string"), F.lit(".pt")))
+
+_NOTE = "'POS_' || pos || ' INST_PIANO PITCH_' || pitch || ' DUR_' || dur || ' VEL_' || vel"
+_TEMPO = "'TEMPO_' || (40 + 2 * round_even((least(220, greatest(40, round_even(coalesce(bpm_median, 120), 0))) - 40) / 2, 0))::int"
+_VIEWS["tok"] = (
+    ("grid", "cur"),
+    f"""SELECT cur.file_id, CASE WHEN body IS NULL THEN ['BOS', 'EOS'] ELSE string_split('BOS ' || {_TEMPO} || ' ' || body || ' EOS', ' ') END AS tokens FROM cur LEFT JOIN
+    (SELECT file_id, string_agg('BAR' || coalesce(' ' || notes, ''), ' ' ORDER BY bar) AS body FROM (SELECT file_id, unnest(range(0, max(bar) + 1)) AS bar FROM grid GROUP BY file_id)
+    LEFT JOIN (SELECT file_id, bar, string_agg({_NOTE}, ' ' ORDER BY pos, pitch, dur, vel) AS notes FROM grid GROUP BY ALL) USING (file_id, bar) GROUP BY file_id) b ON b.file_id = cur.file_id""",
+)
+# sequences with faults of several kinds, by file
+_VIEWS["btok"] = (
+    ("tok",),
+    """SELECT file_id, CASE file_id % 8 WHEN 1 THEN tokens[:-2] WHEN 2 THEN tokens[1:4] || tokens[6:] WHEN 3 THEN tokens[1:2] || ['XXX'] || tokens[4:] WHEN 4 THEN tokens[1:9] WHEN 5 THEN tokens || ['BAR']
+    WHEN 6 THEN ['FIM_HOLE'] || tokens WHEN 7 THEN tokens[1:2] || ['KEY_C_MAJ', 'TEMPO_80'] || tokens[3:] ELSE tokens END AS tokens FROM tok""",
+)
+_VIEWS["row"] = (("btok",), "SELECT file_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS idx FROM btok")
+_LETTER = """CASE WHEN token = 'BOS' THEN 'B' WHEN token = 'EOS' THEN 'E' WHEN token = 'BAR' THEN 'R' WHEN token IN (SELECT token FROM vocab) THEN
+CASE split_part(token, '_', 1) WHEN 'TEMPO' THEN 'T' WHEN 'KEY' THEN 'K' WHEN 'POS' THEN 'P' WHEN 'INST' THEN 'I' WHEN 'PITCH' THEN 'C' WHEN 'DUR' THEN 'D' WHEN 'VEL' THEN 'V' ELSE '?' END ELSE '?' END"""
+_ROOTS = "['C', 'C_SHARP', 'D', 'D_SHARP', 'E', 'F', 'F_SHARP', 'G', 'G_SHARP', 'A', 'A_SHARP', 'B']"
+_VIEWS["vocab"] = (
+    (),
+    f"""SELECT (row_number() OVER (ORDER BY part, n) - 1)::int AS id, token FROM (SELECT 0 AS part, range AS n, ['BOS', 'EOS', 'FIM_HOLE', 'FIM_MID', 'BAR'][range + 1] AS token FROM range(5)
+    UNION ALL SELECT 1, range, 'POS_' || range FROM range(32) UNION ALL SELECT 2, 0, 'INST_PIANO' UNION ALL SELECT 3, range, 'PITCH_' || range FROM range(21, 109)
+    UNION ALL SELECT 4, b, 'DUR_' || b FROM (SELECT unnest([1,2,3,4,6,8,12,16,24,32]) AS b) UNION ALL SELECT 5, range, 'VEL_' || range FROM range(16) UNION ALL SELECT 6, range, 'TEMPO_' || range FROM range(40, 221, 2)
+    UNION ALL SELECT 7, range, 'KEY_' || {_ROOTS}[range + 1] || '_MAJ' FROM range(12) UNION ALL SELECT 8, range, 'KEY_' || {_ROOTS}[range + 1] || '_MIN' FROM range(12) UNION ALL SELECT 9, 0, 'KEY_UNCERTAIN')""",
+)
+_VIEWS["code"] = (("row", "vocab"), f"SELECT file_id, idx, token, {_LETTER} AS sign FROM row")
+
+
+def streams(spark: SparkSession, d: str) -> DataFrame:
+    """Token sequences of all current files."""
+    cur = records(spark, d).select("file_id", "ticks_per_beat", "bpm_median")
+    return token_stream(grid(notes(spark, d), cur), cur, N.tempo_token(F.coalesce("bpm_median", F.lit(120.0))))
+
+
+def faulty_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Token sequences of which seven in eight have a fault, by file."""
+    t, n = F.col("tokens"), F.size("tokens")
+
+    def cut(a: int, b: int | None = None) -> Column:
+        return F.slice(t, F.lit(a), F.lit(b - a + 1) if b else F.greatest(F.lit(0), n - a + 1))
+
+    words = lambda *x: F.array(*[F.lit(w) for w in x])
+    kinds = {
+        1: F.slice(t, F.lit(1), n - 1), 2: F.concat(cut(1, 4), cut(6)), 3: F.concat(cut(1, 2), words("XXX"), cut(4)), 4: cut(1, 9), 5: F.concat(t, words("BAR")), 6: F.concat(words("FIM_HOLE"), t),
+        7: F.concat(cut(1, 2), words("KEY_C_MAJ", "TEMPO_80"), cut(3)),
+    }
+    out = t
+    for k, v in kinds.items():
+        out = F.when(F.col("file_id") % 8 == k, v).otherwise(out)
+    return streams(spark, d).select("file_id", out.alias("tokens"))
