@@ -88,13 +88,18 @@ def raw_frames(hists: DataFrame, key: str = "file_id") -> DataFrame:
     return h.withColumn("uncertain", (weight <= 0) | (F.col("best") < LEAST_SCORE) | (F.col("margin") < LEAST_MARGIN)).drop("_r")
 
 
+def _faded(share: float):
+    return lambda x: F.greatest(F.lit(0.0), x) * share
+
+
 def neighbourhood_support(rows: DataFrame, key: str = "file_id") -> DataFrame:
     """Adds `support` (24 doubles): positive scores of the frames up to RADIUS away, each weaker by DECAY a step."""
     w = W.partitionBy(key).orderBy("frame")
     total = F.array(*[F.lit(0.0)] * len(KEYS))
     for d in range(-RADIUS, RADIUS + 1):
         other = F.lag("scores", -d).over(w) if d < 0 else (F.col("scores") if d == 0 else F.lead("scores", d).over(w))
-        total = F.when(other.isNull(), total).otherwise(F.zip_with(total, other, lambda a, x, k=DECAY ** abs(d): a + F.greatest(F.lit(0.0), x) * k))
+        faded = F.transform(other, _faded(DECAY ** abs(d)))
+        total = F.when(other.isNull(), total).otherwise(F.zip_with(total, faded, lambda a, x: a + x))
     return rows.withColumn("support", total)
 
 
@@ -133,9 +138,6 @@ def segments(labels: list[str]) -> list[tuple[str, int, int]]:
     return [*out, (key, start, len(labels))]
 
 
-_TIMELINE = "key string, frame_from int, frame_to int, start_unit long, end_unit long, mean_score double, support double"
-
-
 def key_segments(rows: DataFrame, totals: DataFrame, overall: DataFrame, key: str = "file_id") -> DataFrame:
     """`key`, `segment`, `name`, `start_unit`, `end_unit`, `mean_score`, `support`: stable stretches of one key.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from melisma.plans import functions, notes, tokens  # noqa: F401
+from melisma.plans import functions, notes, structure, tokens  # noqa: F401
 from melisma.plans.registry import QUERIES, SQL, Query
 
 
