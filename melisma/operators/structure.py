@@ -104,25 +104,55 @@ def repetition(events: DataFrame, key: str = "file_id", order: str = "event_idx"
     return seq.select(key, mean("e").alias("event_repeat"), mean("r").alias("rhythm_repeat"))
 
 
-def sequence_metrics(events: DataFrame, bars: DataFrame, key: str = "file_id") -> DataFrame:
-    """One row per sequence with bars: counts, empty and sparse bars, order, overlaps, pitch, rhythm and repetition.
+def strict_parts(sequences: DataFrame, key: str = "file_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(notes, bars, positions) of token arrays up to the first EOS, broken note or other token.
 
-    `events` as from parsed_events (`idx`, `bar`, `pos`, `pitch`, `dur`), `bars` as `key`, `bar`. Sequences without notes have
-    zeros and null ratios.
+    Notes before any BAR belong to an implicit bar, -1. Positions (`idx`, `bar`, `pos`) also hold that of the broken note
+    the reading ends at. BOS, tempo, key and FIM tokens are skipped anywhere.
     """
-    ev = events.withColumn("unit", F.col("bar") * N.POSITIONS + F.col("pos")).withColumn("event_idx", F.col("idx"))
-    per = bars.select(key, "bar").join(ev.groupBy(key, "bar").agg(F.count("*").alias("k")), [key, "bar"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    one = lambda t: F.when(t.isin("BOS", "FIM_HOLE", "FIM_MID") | t.startswith("TEMPO_") | t.startswith("KEY_"), "S").when(t == "EOS", "E").when(t == "BAR", "R").when(t.startswith("POS_"), "P").when(t.startswith("INST_"), "I").when(t.startswith("PITCH_"), "C").when(t.startswith("DUR_"), "D").when(t.startswith("VEL_"), "V").otherwise("?")
+    code = F.col("_code")
+    rows = sequences.select(key, "tokens", F.array_join(F.transform("tokens", one), "").alias("_code")).where(F.length("_code") > 0)
+    before = {"I": "P", "C": "I", "D": "C", "V": "D"}
+
+    def stops(i: Column) -> Column:
+        sign, last = F.substring(code, i + 1, F.lit(1)), F.when(i == 0, "^").otherwise(F.substring(code, i, F.lit(1)))
+        broken = (sign == "P") & (F.substring(code, i + 1, F.lit(5)) != "PICDV")
+        astray = F.lit(False)
+        for part, want in before.items():
+            astray = astray | ((sign == part) & (last != want))
+        return sign.isin("E", "?") | broken | astray
+
+    rows = rows.withColumn("_stop", F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), F.length(code) - 1), stops)), F.length(code)))
+    token = rows.select(key, "_stop", "tokens", F.posexplode("tokens").alias("idx", "token")).where("idx < _stop OR (idx = _stop AND token LIKE 'POS%')")
+    marks = token.where("token = 'BAR' OR token LIKE 'POS%'")
+    bar = F.sum((F.col("token") == "BAR").cast("int")).over(W.partitionBy(key).orderBy("idx").rowsBetween(W.unboundedPreceding, W.currentRow)) - 1
+    number = lambda k, size: F.substring(F.get("tokens", F.col("idx") + k), size, 20).try_cast("int")
+    at = marks.select(key, "idx", "token", "_stop", bar.alias("bar"), number(0, 5).alias("pos"), number(2, 7).alias("pitch"), number(3, 5).alias("dur"))
+    notes = at.where("token <> 'BAR' AND idx < _stop").select(key, "idx", "bar", "pos", "pitch", "dur")
+    return notes, at.where("token = 'BAR' OR idx < _stop").select(key, "bar").distinct(), at.where("token <> 'BAR' AND pos IS NOT NULL").select(key, "idx", "bar", "pos")
+
+
+def sequence_metrics(sequences: DataFrame, key: str = "file_id") -> DataFrame:
+    """One row per token array: counts, empty and sparse bars, order, overlaps, pitch, rhythm and repetition of what strict_parts reads.
+
+    Arrays without bars or notes have zeros and null ratios.
+    """
+    notes, bars, positions = strict_parts(sequences, key)
+    ev = notes.where("pos IS NOT NULL AND pitch IS NOT NULL AND dur IS NOT NULL").withColumn("unit", F.greatest(F.lit(0), "bar") * N.POSITIONS + F.col("pos")).withColumn("event_idx", F.col("idx"))
+    per = bars.join(notes.groupBy(key, "bar").agg(F.count("*").alias("k")), [key, "bar"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     counts = per.groupBy(key).agg(F.count("*").alias("bar_count"), F.sum("k").alias("event_count"), F.count_if(F.col("k") == 0).alias("empty_bars"), F.count_if(F.col("k") <= 1).alias("sparse_bars"))
     empty = longest_run(per, [key], "bar", F.when(F.col("k") == 0, 1), "empty_run")
     span = ev.groupBy(key).agg((F.max("pitch") - F.min("pitch")).alias("pitch_span"))
-    rows = counts
-    for part in (empty, span, time_order_violations(ev, key), same_pitch_overlaps(ev, key), pitch_collapse(ev, key), rhythm_diversity(ev, key), repetition(ev, key)):
+    rows = sequences.select(key)
+    for part in (counts, empty, span, time_order_violations(positions, key), same_pitch_overlaps(ev, key), pitch_collapse(ev, key), rhythm_diversity(ev, key), repetition(ev, key)):
         rows = rows.join(part, key, "left")
-    zeros = {c: F.coalesce(c, F.lit(0)) for c in ("empty_run", "pitch_span", "violations", "overlaps", "pitch_events", "pitch_unique", "rhythm_events", "onset_unique")}
+    zeros = {c: F.coalesce(c, F.lit(0)) for c in ("bar_count", "event_count", "empty_bars", "sparse_bars", "empty_run", "pitch_span", "violations", "overlaps", "pitch_events", "pitch_unique", "rhythm_events", "onset_unique")}
     rows = rows.withColumns(zeros).withColumn("coverage", F.coalesce("coverage", F.lit(0.0)))
+    share = lambda c, of: F.coalesce(F.try_divide(F.col(c), F.col(of)), F.lit(0.0))
     return rows.withColumns({
-        "empty_bar_rate": F.col("empty_bars") / F.col("bar_count"), "sparse_bar_rate": F.col("sparse_bars") / F.col("bar_count"), "multi_empty_run": F.col("empty_run") >= 2,
-        "time_order_valid": F.col("violations") == 0, "overlap_rate": F.coalesce(F.try_divide(F.col("overlaps"), F.col("event_count")), F.lit(0.0)),
+        "empty_bar_rate": share("empty_bars", "bar_count"), "sparse_bar_rate": share("sparse_bars", "bar_count"), "multi_empty_run": F.col("empty_run") >= 2,
+        "time_order_valid": F.col("violations") == 0, "overlap_rate": share("overlaps", "event_count"),
     })
 
 

@@ -106,26 +106,25 @@ def g17_repetition(spark: SparkSession, d: str) -> DataFrame:
     return rounded(O.repetition(events(spark, d)), "event_repeat", "rhythm_repeat")
 
 
-_PARSED = """w AS (SELECT file_id, idx, token, lead(token, 1) OVER o AS t1, lead(token, 2) OVER o AS t2, lead(token, 3) OVER o AS t3, lead(token, 4) OVER o AS t4, sum((token = 'BAR')::int) OVER o - 1 AS bar, first_value(token) OVER o AS head FROM row r WINDOW o AS (PARTITION BY file_id ORDER BY idx)),
-pe AS (SELECT file_id, idx, bar, substr(token, 5)::int AS pos, substr(t2, 7)::int AS pitch, substr(t3, 5)::int AS dur FROM w WHERE head = 'BOS' AND bar >= 0 AND starts_with(token, 'POS_') AND starts_with(t1, 'INST_') AND starts_with(t2, 'PITCH_') AND starts_with(t3, 'DUR_') AND starts_with(t4, 'VEL_')),
-sp AS (SELECT file_id, bar FROM w WHERE token = 'BAR' AND head = 'BOS'), k AS (SELECT sp.file_id, sp.bar, count(pe.pos) AS n FROM sp LEFT JOIN pe ON pe.file_id = sp.file_id AND pe.bar = sp.bar GROUP BY ALL),
+_STRICT = """sg AS (SELECT file_id, idx, token, CASE WHEN token IN ('BOS', 'FIM_HOLE', 'FIM_MID') OR starts_with(token, 'TEMPO_') OR starts_with(token, 'KEY_') THEN 'S' WHEN token = 'EOS' THEN 'E' WHEN token = 'BAR' THEN 'R' WHEN starts_with(token, 'POS_') THEN 'P'
+WHEN starts_with(token, 'INST_') THEN 'I' WHEN starts_with(token, 'PITCH_') THEN 'C' WHEN starts_with(token, 'DUR_') THEN 'D' WHEN starts_with(token, 'VEL_') THEN 'V' ELSE '?' END AS s FROM row r),
+w AS (SELECT *, coalesce(lag(s) OVER o, '^') || s AS pair, s || coalesce(lead(s, 1) OVER o, '') || coalesce(lead(s, 2) OVER o, '') || coalesce(lead(s, 3) OVER o, '') || coalesce(lead(s, 4) OVER o, '') AS five, lead(token, 2) OVER o AS t2, lead(token, 3) OVER o AS t3 FROM sg WINDOW o AS (PARTITION BY file_id ORDER BY idx)),
+st AS (SELECT file_id, coalesce(min(idx) FILTER (s IN ('E', '?') OR (s = 'P' AND five <> 'PICDV') OR (s IN ('I', 'C', 'D', 'V') AND pair NOT IN ('PI', 'IC', 'CD', 'DV'))), count(*)) AS stop FROM w GROUP BY file_id),
+a AS (SELECT w.*, stop, sum((s = 'R')::int) OVER (PARTITION BY w.file_id ORDER BY idx) - 1 AS bar FROM w JOIN st USING (file_id) WHERE idx < stop OR (idx = stop AND s = 'P')),
+pe AS (SELECT file_id, idx, bar, substr(token, 5)::int AS pos, substr(t2, 7)::int AS pitch, substr(t3, 5)::int AS dur FROM a WHERE s = 'P' AND idx < stop),
+sp AS (SELECT DISTINCT file_id, bar FROM a WHERE s IN ('P', 'R') AND (idx < stop)), k AS (SELECT sp.file_id, sp.bar, count(pe.pos) AS n FROM sp LEFT JOIN pe ON pe.file_id = sp.file_id AND pe.bar = sp.bar GROUP BY ALL),
 c AS (SELECT file_id, count(*) AS bar_count, sum(n)::bigint AS event_count, count(*) FILTER (n = 0) AS empty_bars, count(*) FILTER (n <= 1) AS sparse_bars FROM k GROUP BY file_id),
 er AS (SELECT file_id, max(m) AS empty_run FROM (SELECT file_id, count(*) AS m FROM (SELECT file_id, bar - row_number() OVER (PARTITION BY file_id ORDER BY bar) AS g FROM k WHERE n = 0) GROUP BY ALL) GROUP BY file_id),
-v AS (SELECT file_id, count(*) FILTER (pos < p) AS violations, count(*) FILTER (bar * 32 + pos < e) AS overlaps, max(pitch) - min(pitch) AS pitch_span FROM (SELECT *, lag(pos) OVER (PARTITION BY file_id, bar ORDER BY idx) AS p, max(bar * 32 + pos + dur) OVER (PARTITION BY file_id, pitch ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM pe) GROUP BY file_id)"""
+vi AS (SELECT file_id, count(*) FILTER (pos < p) AS violations FROM (SELECT file_id, pos, lag(pos) OVER (PARTITION BY file_id, bar ORDER BY idx) AS p FROM (SELECT file_id, bar, idx, try_cast(substr(token, 5) AS int) AS pos FROM a WHERE s = 'P')) GROUP BY file_id),
+v AS (SELECT file_id, count(*) FILTER (greatest(0, bar) * 32 + pos < e) AS "overlaps", max(pitch) - min(pitch) AS pitch_span FROM (SELECT *, max(greatest(0, bar) * 32 + pos + dur) OVER (PARTITION BY file_id, pitch ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM pe) GROUP BY file_id)"""
 
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
-    s = faulty_streams(spark, d)
-    return O.sequence_metrics(S.parsed_events(s), bars_of(s))
+    return O.sequence_metrics(faulty_streams(spark, d))
 
 
-def bars_of(sequences: DataFrame, key: str = "file_id") -> DataFrame:
-    """`key`, `bar`: every BAR of sequences that begin with BOS."""
-    rows = sequences.where(F.try_element_at("tokens", F.lit(1)) == "BOS").select(key, F.size(F.filter("tokens", lambda t: t == "BAR")).alias("n"))
-    return rows.where("n > 0").select(key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bar"))
-
-
-@query(twin(f"WITH {_PARSED} SELECT file_id, bar_count, event_count, empty_bars, sparse_bars, coalesce(empty_run, 0) AS empty_run, coalesce(violations, 0) AS violations, coalesce(overlaps, 0) AS overlaps, coalesce(pitch_span, 0) AS pitch_span, round(empty_bars / bar_count::double, 6) AS empty_bar_rate, round(coalesce(overlaps / nullif(event_count, 0)::double, 0), 6) AS overlap_rate, coalesce(violations, 0) = 0 AS time_order_valid FROM c LEFT JOIN er USING (file_id) LEFT JOIN v USING (file_id)", "row"))
+@query(twin(f"""WITH {_STRICT} SELECT st.file_id, coalesce(bar_count, 0) AS bar_count, coalesce(event_count, 0) AS event_count, coalesce(empty_bars, 0) AS empty_bars, coalesce(sparse_bars, 0) AS sparse_bars, coalesce(empty_run, 0) AS empty_run, coalesce(violations, 0) AS violations, coalesce("overlaps", 0) AS "overlaps",
+coalesce(pitch_span, 0) AS pitch_span, round(coalesce(empty_bars / nullif(bar_count, 0)::double, 0), 6) AS empty_bar_rate, round(coalesce("overlaps" / nullif(event_count, 0)::double, 0), 6) AS overlap_rate, coalesce(violations, 0) = 0 AS time_order_valid FROM st LEFT JOIN c USING (file_id) LEFT JOIN er USING (file_id) LEFT JOIN vi USING (file_id) LEFT JOIN v USING (file_id)""", "row"))
 def g18_sequence_metrics(spark: SparkSession, d: str) -> DataFrame:
     cols = ["file_id", "bar_count", "event_count", "empty_bars", "sparse_bars", "empty_run", "violations", "overlaps", "pitch_span", "empty_bar_rate", "overlap_rate", "time_order_valid"]
     return rounded(analysed(spark, d), "empty_bar_rate", "overlap_rate").select(*cols)
