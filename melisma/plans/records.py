@@ -176,13 +176,13 @@ def s12_history(spark: SparkSession, d: str) -> DataFrame:
 _SUM = f"""WITH {_ALIGN}, b AS (SELECT run, arg_min(step, (valid_loss, step)) AS best_step FROM al WHERE valid_loss IS NOT NULL GROUP BY run)
 SELECT al.run, count(*) FILTER (event = 'train') AS train_rows, count(*) FILTER (event = 'eval') AS eval_rows, max(step) FILTER (event = 'train') AS last_train_step, max(step) FILTER (event = 'eval') AS last_eval_step,
 max_by(loss, step) FILTER (event = 'train') AS latest_train_loss, max_by(valid_loss, step) FILTER (event = 'eval') AS latest_valid_loss, min(valid_loss) AS best_valid_loss, max(best_step) AS best_valid_step, count(*) FILTER (event = 'eval' AND step > best_step) AS plateau,
-round(avg(loss), 5) AS train_loss_mean, round(median(loss), 6) AS train_loss_median, CASE WHEN count(loss) > 1 THEN round(stddev_pop(loss), 6) END AS train_loss_std, min(loss) AS train_loss_min, min(ema) FILTER (event = 'train') AS train_ema_min FROM al LEFT JOIN b USING (run) GROUP BY al.run"""
+round(avg(loss), 10) AS train_loss_mean, round(median(loss), 6) AS train_loss_median, CASE WHEN count(loss) > 1 THEN round(stddev_pop(loss), 6) END AS train_loss_std, min(loss) AS train_loss_min, min(ema) FILTER (event = 'train') AS train_ema_min FROM al LEFT JOIN b USING (run) GROUP BY al.run"""
 
 
 @query(twin(_SUM, "log"))
 def g26_training_summary(spark: SparkSession, d: str) -> DataFrame:
     s = T.log_summary(aligned(spark, d))
-    return s.withColumns({c: F.round(c, 6 - (c == "train_loss_mean")) for c in ("train_loss_mean", "train_loss_median", "train_loss_std")})
+    return s.withColumns({c: F.round(c, 10 if c == "train_loss_mean" else 6) for c in ("train_loss_mean", "train_loss_median", "train_loss_std")})
 
 
 @query(twin(f"WITH {_ALIGN}, b AS (SELECT run, arg_min(step, (valid_loss, step)) AS best_step FROM al WHERE valid_loss IS NOT NULL GROUP BY run) SELECT run, count(*) FILTER (step > best_step) AS plateau FROM al JOIN b USING (run) WHERE event = 'eval' GROUP BY run", "log"))

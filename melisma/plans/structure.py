@@ -114,7 +114,7 @@ a AS (SELECT w.*, stop, sum((s = 'R')::int) OVER (PARTITION BY w.file_id ORDER B
 pe AS (SELECT file_id, idx, bar, substr(token, 5)::int AS pos, substr(t2, 7)::int AS pitch, substr(t3, 5)::int AS dur FROM a WHERE s = 'P' AND idx < stop),
 sp AS (SELECT DISTINCT file_id, bar FROM a WHERE s IN ('P', 'R') AND (idx < stop)), k AS (SELECT sp.file_id, sp.bar, count(pe.pos) AS n FROM sp LEFT JOIN pe ON pe.file_id = sp.file_id AND pe.bar = sp.bar GROUP BY ALL),
 c AS (SELECT file_id, count(*) AS bar_count, sum(n)::bigint AS event_count, count(*) FILTER (n = 0) AS empty_bars, count(*) FILTER (n <= 1) AS sparse_bars FROM k GROUP BY file_id),
-er AS (SELECT file_id, max(m) AS empty_run FROM (SELECT file_id, count(*) AS m FROM (SELECT file_id, bar - row_number() OVER (PARTITION BY file_id ORDER BY bar) AS g FROM k WHERE n = 0) GROUP BY ALL) GROUP BY file_id),
+er AS (SELECT file_id, max(m) AS empty_run FROM (SELECT file_id, count(*) AS m FROM (SELECT file_id, bar - row_number() OVER (PARTITION BY file_id ORDER BY bar) AS g FROM k WHERE n = 0) GROUP BY file_id, g) GROUP BY file_id),
 vi AS (SELECT file_id, count(*) FILTER (pos < p) AS violations FROM (SELECT file_id, pos, lag(pos) OVER (PARTITION BY file_id, bar ORDER BY idx) AS p FROM (SELECT file_id, bar, idx, try_cast(substr(token, 5) AS int) AS pos FROM a WHERE s = 'P')) GROUP BY file_id),
 v AS (SELECT file_id, count(*) FILTER (greatest(0, bar) * 32 + pos < e) AS "overlaps", max(pitch) - min(pitch) AS pitch_span FROM (SELECT *, max(greatest(0, bar) * 32 + pos + dur) OVER (PARTITION BY file_id, pitch ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM pe) GROUP BY file_id)"""
 
