@@ -66,7 +66,7 @@ if __name__ == "__main__":
     d = "/root/testdata/sf0.01"
     if args[:1] == ["-d"]:
         d, args = args[1], args[2:]
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(d)
     for name, make in entry.queries().items():
