@@ -1,8 +1,16 @@
-"""Near-duplicate note records: exact join on pitch counts, exact verification (problem 6)."""
+"""Near-duplicate note records: MinHash compared incrementally with Bayesian pruning, exact verification (problem 6).
+
+Of two records that are a case, 70 % of the larger one's notes have partners of the same pitch, wherever they stand. So the
+sets of (pitch, how often it came before) of the two have a Jaccard similarity of at least 0.7 / 1.3: unlike n-grams this
+bound follows from the definition. MinHash values of those sets are compared a chunk at a time, and a pair is dropped once
+it is all but impossible, at TOLERATED, that its similarity reaches the bound.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +26,18 @@ UNITS = 1920
 TOLERANCE = UNITS // 8
 #: Share of the larger record's notes that must have partners.
 SHARE = 0.7
-#: Pitches are counted in so many bins (higher ones fold onto lower), and first compared in so many coarse bins.
-BINS, COARSE = 128, 16
-#: Records compared with each other at once; a task holds the pitch counts of two such blocks.
+#: MinHash values of a record, each cut to a byte, and how many have been compared at each decision.
+HASHES, STEPS = 128, (64, 96, 128)
+#: Least Jaccard similarity of the (pitch, occurrence) sets of a case.
+LEAST = SHARE / (2 - SHARE)
+#: A pair is dropped when the posterior probability that it reaches LEAST is below this.
+TOLERATED = 1e-4
+#: Pitches are counted in so many bins; higher ones fold onto lower.
+BINS = 128
+#: Records compared with each other at once; a task holds two such blocks.
 BLOCK = 8192
+#: Occurrences of a pitch whose hashes are kept in a table.
+_OFTEN = 64
 #: A passage that stands elsewhere must hold this share of the larger record's notes, and this many notes.
 PASSAGE_SHARE, PASSAGE_NOTES = 0.12, 8
 
@@ -35,6 +51,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashed(token: np.ndarray, k: int) -> np.ndarray:
+    return (_mix(token * np.uint64(HASHES) + np.uint64(k)) >> np.uint64(32)).astype(np.uint32)
+
+
+@lru_cache(1)
+def _table() -> np.ndarray:
+    """Hash values of the tokens of pitches up to _OFTEN occurrences: HASHES rows."""
+    token = np.arange(256 * _OFTEN, dtype=np.uint64)
+    return np.stack([_hashed(token, k) for k in range(HASHES)])
+
+
+def min_hashes(record: np.ndarray, pitch: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Notes of whole records (`record` ascending, beginning at `start`) -> low bytes of the MinHash values, a row per record."""
+    order = np.lexsort((pitch, record))
+    r, p = record[order], pitch[order]
+    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])])
+    often = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+    token = p.astype(np.int64) + 256 * often
+    rare = np.flatnonzero(often >= _OFTEN)
+    table, out = _table(), np.empty((len(start), HASHES), np.uint8)
+    at = np.where(often < _OFTEN, token, 0)
+    for k in range(HASHES):
+        value = table[k][at]
+        if len(rare):
+            value[rare] = _hashed(token[rare].astype(np.uint64), k)
+        out[:, k] = np.minimum.reduceat(value, start)
+    return out
+
+
+@lru_cache(8)
+def least_agreement(tolerated: float = TOLERATED) -> tuple[int, ...]:
+    """At each step, the fewest equal values with which a pair is kept.
+
+    With a flat prior, m equal values of n make the posterior Beta(m + 1, n - m + 1), whose mass from LEAST on is
+    P(Bin(n + 1, LEAST) <= m).
+    """
+    out = []
+    for n in STEPS:
+        mass, m = 0.0, 0
+        while True:
+            mass += comb(n + 1, m) * LEAST**m * (1 - LEAST) ** (n + 1 - m)
+            if mass >= tolerated:
+                break
+            m += 1
+        out.append(m)
+    return tuple(out)
+
+
 def signature_columns(file_id: np.ndarray, onset: np.ndarray, pitch: np.ndarray) -> pa.RecordBatch:
     """Rows of one or more whole records, sorted by file, onset and pitch -> one row per record."""
     start = np.flatnonzero(np.r_[True, file_id[1:] != file_id[:-1]])
@@ -43,6 +107,7 @@ def signature_columns(file_id: np.ndarray, onset: np.ndarray, pitch: np.ndarray)
     exact = np.add.reduceat(_mix(rel.astype(np.uint64) * np.uint64(131) + pitch.astype(np.uint64) + np.uint64(1)), start)
     exact = _mix(exact ^ _mix(size.astype(np.uint64)))
     on, pi = onset.astype(np.int32), pitch.astype(np.uint8)
+    mins = min_hashes(np.repeat(np.arange(len(start)), size), pi, start)
     cut = list(zip(start.tolist(), (start + size).tolist()))
     return pa.RecordBatch.from_arrays(
         [
@@ -51,12 +116,13 @@ def signature_columns(file_id: np.ndarray, onset: np.ndarray, pitch: np.ndarray)
             pa.array(exact.view(np.int64)),
             pa.array([on[a:b].tobytes() for a, b in cut], pa.binary()),
             pa.array([pi[a:b].tobytes() for a, b in cut], pa.binary()),
+            pa.array([row.tobytes() for row in mins], pa.binary()),
         ],
-        names=["file_id", "n", "exact", "onset", "pitch"],
+        names=["file_id", "n", "exact", "onset", "pitch", "mins"],
     )
 
 
-_SIGNED = "file_id long, n int, exact long, onset binary, pitch binary"
+_SIGNED = "file_id long, n int, exact long, onset binary, pitch binary, mins binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +160,7 @@ def counted_notes(notes: DataFrame) -> DataFrame:
 
 
 def signed_records(records: DataFrame, notes: DataFrame) -> DataFrame:
-    """One row per current record with notes: file_id, n, exact (hash of its notes), onset, pitch."""
+    """One row per current record with notes: file_id, n, exact (hash of its notes), onset, pitch, mins (MinHash bytes)."""
     tpb = current_rows(records.select("file_id", "ingested_at", "ticks_per_beat"), "file_id", "ingested_at").selectExpr("file_id", "cast(coalesce(ticks_per_beat, 480) as double) as tpb").where("tpb > 0")
     return counted_notes(notes).join(tpb, "file_id").repartition("file_id").sortWithinPartitions("file_id").mapInArrow(_sign, _SIGNED)
 
@@ -121,59 +187,68 @@ def size_blocks(counts: list[tuple[int, int]], rows: int = BLOCK) -> list[tuple[
     return out
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = [np.bincount(np.frombuffer(p, np.uint8) % BINS, minlength=BINS).astype(np.int32).tobytes() for p in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary())], names=["file_id", "n", "counts"])
-
-
-def alike(n_a: np.ndarray, count_a: np.ndarray, n_b: np.ndarray, count_b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(row of a, rows of b) whose pitch counts have SHARE of the larger record in common, as every case of `is_case` must."""
-    order = np.argsort(n_b, kind="stable")
-    n_b, count_b = n_b[order], count_b[order]
-    # coarse bins of about equal weight; one array for each bin, since short rows add up slowly
-    mass = count_b.sum(axis=0, dtype=np.int64).cumsum()
-    group = np.minimum((mass * COARSE - 1) // max(1, int(mass[-1])), COARSE - 1)
-    coarse_a = np.stack([count_a[:, group == g].sum(axis=1, dtype=np.int32) for g in range(COARSE)], axis=1)
-    coarse_b = np.stack([count_b[:, group == g].sum(axis=1, dtype=np.int32) for g in range(COARSE)])
-    need_b = _least(n_b)
-    lo = np.searchsorted(n_b, _least(n_a))
-    hi = np.searchsorted(n_b, (n_a + 1e-6) / SHARE, side="right")
-    for i in range(len(n_a)):
-        if lo[i] == hi[i]:
+def pitch_counts(pitches: list[bytes]) -> np.ndarray:
+    """Records' pitches -> BINS counts each."""
+    size = np.fromiter(map(len, pitches), np.int64, len(pitches))
+    bins = np.frombuffer(b"".join(pitches), np.uint8).astype(np.int64) % BINS
+    return np.bincount(np.repeat(np.arange(len(pitches)), size) * BINS + bins, minlength=len(pitches) * BINS).reshape(-1, BINS).astype(np.int32)
+
+
+def alike(n: np.ndarray, mins: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of x, rows of y) that survive the comparison of MinHash values and have SHARE of the larger record's pitches in common; of equal sets x and y each pair once."""
+    itself = x is y
+    y = y[np.argsort(n[y], kind="stable")]
+    x = y if itself else x
+    by_row = np.ascontiguousarray(mins[y])
+    by_hash = np.ascontiguousarray(by_row[:, : STEPS[0]].T)
+    counts = counts[:, counts.any(axis=0)].astype(np.int16 if counts.max(initial=0) < 1 << 15 else np.int32)
+    n_y, held = n[y], counts[y]
+    lo, hi = np.searchsorted(n_y, _least(n[x])), np.searchsorted(n_y, (n[x] + 1e-6) / SHARE, side="right")
+    if itself:
+        lo = np.arange(1, len(x) + 1)
+    need_y, fewest = _least(n_y), least_agreement()
+    buffer = np.empty(STEPS[0] * len(y), bool)
+    for k, i in enumerate(x.tolist()):
+        a, b = int(lo[k]), int(hi[k])
+        if a >= b:
             continue
-        need = np.maximum(need_b[lo[i] : hi[i]], _least(n_a[i]))
-        common = np.minimum(coarse_b[0, lo[i] : hi[i]], coarse_a[i, 0])
-        for g in range(1, COARSE):
-            common += np.minimum(coarse_b[g, lo[i] : hi[i]], coarse_a[i, g])
-        at = np.flatnonzero(common >= need)
-        at = at[np.minimum(count_b[lo[i] + at], count_a[i]).sum(axis=1) >= need[at]]
+        mine = mins[i]
+        same = np.equal(by_hash[:, a:b], mine[: STEPS[0], None], out=buffer[: STEPS[0] * (b - a)].reshape(STEPS[0], -1))
+        equal = np.add.reduce(same.view(np.uint8), axis=0, dtype=np.uint8)
+        at = np.flatnonzero(equal >= fewest[0])
+        equal = equal[at]
+        for s, (done, upto) in enumerate(zip(STEPS, STEPS[1:]), 1):
+            equal += (by_row[a + at, done:upto] == mine[done:upto]).view(np.uint8).sum(axis=1, dtype=np.uint8)
+            kept = equal >= fewest[s]
+            at, equal = at[kept], equal[kept]
         if len(at):
-            yield i, order[lo[i] + at]
+            need = np.maximum(need_y[a + at], _least(n[i]))
+            at = at[np.minimum(held[a + at], counts[i]).sum(axis=1) >= need]
+        if len(at):
+            yield i, y[a + at]
 
 
 def _join_block(key: tuple, group: pa.Table) -> pa.Table:
-    """The rows of two blocks (or of one, with itself) -> pairs alike in their pitch counts."""
+    """The rows of two blocks (or of one, with itself) -> pairs that may be cases."""
     group = group.combine_chunks()
     ids, n, side = (group.column(c).to_numpy() for c in ("file_id", "n", "side"))
-    counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int32).reshape(-1, BINS)
+    mins = np.frombuffer(b"".join(group.column("mins").to_pylist()), np.uint8).reshape(-1, HASHES)
+    counts = pitch_counts(group.column("pitch").to_pylist())
     x = np.flatnonzero(side == 0)
     y = np.flatnonzero(side == 1) if key[0].as_py() != key[1].as_py() else x
     lo, hi = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i, js in alike(n[x], counts[x], n[y], counts[y]):
-        one, other = ids[x[i]], ids[y[js]]
-        if x is y:
-            other = other[other > one]
-        lo.append(np.minimum(one, other))
-        hi.append(np.maximum(one, other))
+    for i, js in alike(n, mins, counts, x, y):
+        lo.append(np.minimum(ids[i], ids[js]))
+        hi.append(np.maximum(ids[i], ids[js]))
     return pa.table({"a": pa.array(np.concatenate(lo), pa.int64()), "b": pa.array(np.concatenate(hi), pa.int64())})
 
 
 def candidate_links(signed: DataFrame) -> DataFrame:
-    """`file_id`, `n`, `pitch` -> `a` < `b`: every two records that can be a case by their pitch counts; none is left to chance.
+    """`file_id`, `n`, `pitch`, `mins` -> `a` < `b`: every two records whose MinHash values leave it possible that they are a case.
 
-    Records are cut in blocks by their number of notes, and each block is compared with those whose numbers are near enough.
-    The comparisons grow with the square of the records, at well under a microsecond each.
+    Records are cut in blocks by their number of notes, and each block is compared with those whose numbers are near enough,
+    so no pair is left to the chance of sharing a band. The comparisons grow with the square of the records; most end after
+    one chunk, at a few nanoseconds.
     """
     blocks = size_blocks([(r["n"], r["k"]) for r in signed.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").collect()])
     parts = [(lo, hi, k, of) for lo, hi, of in blocks for k in range(of)]
@@ -181,9 +256,46 @@ def candidate_links(signed: DataFrame) -> DataFrame:
     meets = [(x, y) for x in range(len(parts)) for y in range(x, len(parts)) if parts[x][1] >= _least(parts[y][0])]
     places = [(*parts[v], x, y, side) for x, y in meets for side, v in enumerate((x, y)) if side == 0 or x != y]
     where = spark.createDataFrame(places, "lo int, hi int, part int, parts int, x int, y int, side int")
-    rows = signed.select("file_id", "n", "pitch").mapInArrow(_count_rows, "file_id long, n int, counts binary")
+    rows = signed.select("file_id", "n", "pitch", "mins")
     placed = rows.join(F.broadcast(where), F.expr("n BETWEEN lo AND hi AND part = pmod(xxhash64(file_id), parts)"))
-    return placed.select("x", "y", "side", "file_id", "n", "counts").groupBy("x", "y").applyInArrow(_join_block, "a long, b long")
+    return placed.select("x", "y", "side", "file_id", "n", "pitch", "mins").groupBy("x", "y").applyInArrow(_join_block, "a long, b long")
+
+
+def same_pitch(p_a: np.ndarray, p_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of notes of one pitch, without a matrix of all pairs."""
+    if len(p_a) * len(p_b) <= 1 << 16:
+        return np.nonzero(p_a[:, None] == p_b[None, :])
+    order = np.argsort(p_b, kind="stable")
+    lo, hi = (np.searchsorted(p_b[order], p_a, side=s) for s in ("left", "right"))
+    size = hi - lo
+    i = np.repeat(np.arange(len(p_a)), size)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+    return i, order[j]
+
+
+def _passage(big: int) -> int:
+    """Notes a passage that stands elsewhere must hold."""
+    return max(PASSAGE_NOTES, int(np.ceil(PASSAGE_SHARE * big)))
+
+
+def promising(on: list[np.ndarray], pitch: list[np.ndarray], on_b: np.ndarray, p_b: np.ndarray) -> np.ndarray:
+    """Of several records against one, those with any offset at which enough notes meet to begin a passage.
+
+    Offsets are counted in cells a little wider than the window of one passage, so every window lies in two neighbouring
+    cells, whose sum bounds what it can hold; no case is lost.
+    """
+    size = np.fromiter(map(len, pitch), np.int64, len(pitch))
+    owner = np.repeat(np.arange(len(pitch)), size)
+    i, j = same_pitch(p_b, np.concatenate(pitch))
+    d = on_b[i].astype(np.int64) - np.concatenate(on)[j]
+    least = np.minimum(np.maximum([_passage(max(n, len(p_b))) for n in size.tolist()], 0), np.minimum(size, len(p_b)))
+    if not len(d):
+        return least <= 0
+    cell = (d - d.min()) // (2 * TOLERANCE + 32)
+    width = int(cell.max()) + 2  # an empty cell between two records
+    held = np.bincount(cell + owner[j] * width, minlength=width * len(pitch) + 1)
+    most = (held[:-1] + held[1:]).reshape(len(pitch), width).max(axis=1)
+    return most >= least
 
 
 def matched_notes(on_a: np.ndarray, p_a: np.ndarray, on_b: np.ndarray, p_b: np.ndarray) -> int:
@@ -192,8 +304,8 @@ def matched_notes(on_a: np.ndarray, p_a: np.ndarray, on_b: np.ndarray, p_b: np.n
     The passage offset that pairs most notes is taken first; its notes leave; then the next, while a passage still
     holds PASSAGE_SHARE of the larger record's notes. Notes within a passage pair in order of onset.
     """
-    need = max(PASSAGE_NOTES, int(np.ceil(PASSAGE_SHARE * max(len(p_a), len(p_b)))))
-    i, j = np.nonzero(p_a[:, None] == p_b[None, :])
+    need = _passage(max(len(p_a), len(p_b)))
+    i, j = same_pitch(p_a, p_b)
     d = on_b[j].astype(np.int64) - on_a[i]
     o = np.argsort(d, kind="stable")
     i, j, d = i[o], j[o], d[o]
@@ -226,14 +338,21 @@ def is_case(on_a: np.ndarray, p_a: np.ndarray, on_b: np.ndarray, p_b: np.ndarray
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with both records' notes -> those that are cases. Neighbouring rows of one `b` are first looked through together."""
     for batch in batches:
         if not batch.num_rows:
             continue
         on_a, p_a, on_b, p_b = (batch.column(n).to_pylist() for n in range(2, 6))
-        ok = [
-            is_case(np.frombuffer(a, np.int32), np.frombuffer(b, np.uint8), np.frombuffer(c, np.int32), np.frombuffer(d, np.uint8))
-            for a, b, c, d in zip(on_a, p_a, on_b, p_b)
-        ]
+        other = batch.column(1).to_numpy()
+        ok = np.zeros(batch.num_rows, bool)
+        first = np.flatnonzero(np.r_[True, other[1:] != other[:-1]]).tolist()
+        for lo, hi in zip(first, [*first[1:], batch.num_rows]):
+            for s in range(lo, hi, 64):
+                part = range(s, min(hi, s + 64))
+                on, pitch = [np.frombuffer(on_a[k], np.int32) for k in part], [np.frombuffer(p_a[k], np.uint8) for k in part]
+                ob, pb = np.frombuffer(on_b[s], np.int32), np.frombuffer(p_b[s], np.uint8)
+                for k in np.flatnonzero(promising(on, pitch, ob, pb)).tolist():
+                    ok[s + k] = is_case(on[k], pitch[k], ob, pb)
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
