@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from melisma.plans import functions, notes, records, structure, tokens, windows  # noqa: F401
+from melisma.plans import functions, notes, records, sources, structure, tokens, windows  # noqa: F401
 from melisma.plans.registry import QUERIES, SQL, Query
 
 
