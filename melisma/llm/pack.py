@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from melisma.tables import current_rows, materialise
 
-#: Items one task packs; its open bins are packed again with those of the others.
+#: Items one task packs; what its open bins hold is packed again with that of others.
 TASK_ITEMS = 1_000_000
 
 
@@ -126,11 +126,8 @@ class SumOfSquares:
 def _pack(capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = SumOfSquares(capacity)
-        fill: dict[int, int] = defaultdict(int)
         for batch in batches:
             where = [packer.place(n) for n in batch["tokens"].tolist()]
-            for b, n in zip(where, batch["tokens"].tolist()):
-                fill[b] += n
             yield batch.assign(bin=where)[["lot", "id", "tokens", "bin"]]
 
     return run
@@ -145,10 +142,11 @@ def _lots(df: DataFrame, lots: int) -> DataFrame:
 def pack(items: DataFrame, capacity: int, task_items: int = TASK_ITEMS) -> DataFrame:
     """`shard_id`, `item_no`, `part_no`, `start`, `tokens`, `container_id`: every item in a container, whole unless longer than `capacity`.
 
-    An item beyond the capacity fills whole containers of its own and packs its rest. Items are dealt to tasks of about
-    `task_items`, each packs its share; bins left open (at most one per gap and task matter) are packed once more as
-    items over all tasks, so at most one lot's open bins stay part empty. Items of length 0 take no room and go with
-    container "0"; negative lengths count as 0. Ties and repeated lengths are settled by hash of shard and number.
+    An item beyond the capacity fills whole containers of its own and packs its rest. Items are dealt to lots of about
+    `task_items`, each packed by one task. Full bins stand; the items of the bins a lot leaves open (a few hundred,
+    however many items it had) are dealt to fewer lots and packed anew, until one lot is left, so that only its open bins
+    stay part empty. Items of length 0 take no room and go with container "0"; negative lengths count as 0. Ties and
+    repeated lengths are settled by hash of shard and number.
     """
     size = F.greatest(F.coalesce("tokens", F.lit(0)), F.lit(0))
     cut = items.select("shard_id", "item_no", size.alias("tokens"))
@@ -156,15 +154,23 @@ def pack(items: DataFrame, capacity: int, task_items: int = TASK_ITEMS) -> DataF
     parts = cut.select("shard_id", "item_no", "tokens", part).select("shard_id", "item_no", "part_no", (F.col("part_no") * capacity).alias("start"), F.least(F.lit(capacity), F.col("tokens") - F.col("part_no") * capacity).alias("tokens"))
     parts = materialise(parts.withColumn("id", F.concat_ws("/", "shard_id", "item_no", "part_no")), "parts")
     loose = parts.where(f"tokens > 0 AND tokens < {capacity}")
-    lots = max(1, -(-loose.count() // task_items))
     schema = "lot int, id string, tokens int, bin long"
-    first = materialise(_lots(loose.select("id", "tokens"), lots).select("lot", "id", "tokens").mapInPandas(_pack(capacity), schema), "packed")
-    named = first.withColumn("container", F.concat_ws("-", "lot", "bin"))
-    if lots > 1:
-        left = named.groupBy("container").agg(F.sum("tokens").cast("int").alias("tokens")).where(f"tokens < {capacity}")
-        again = _lots(left.select(F.col("container").alias("id"), "tokens"), 1).select("lot", "id", "tokens").mapInPandas(_pack(capacity), schema)
-        merged = again.select(F.col("id").alias("container"), F.concat_ws("-", F.lit("m"), "bin").alias("into"))
-        named = named.join(merged, "container", "left").withColumn("container", F.coalesce("into", "container"))
+    done, now, turn = [], loose.select("id", "tokens"), 0
+    lots = max(1, -(-loose.count() // task_items))
+    while True:
+        packed = materialise(_lots(now, lots).select("lot", "id", "tokens").mapInPandas(_pack(capacity), schema), "packed")
+        named = packed.select("id", "tokens", F.concat_ws("-", F.lit(f"r{turn}"), "lot", "bin").alias("container"))
+        if lots == 1:
+            done.append(named)
+            break
+        fill = packed.groupBy("lot", "bin").agg(F.sum("tokens").alias("held"))
+        named = materialise(packed.join(fill, ["lot", "bin"]).select("id", "tokens", F.concat_ws("-", F.lit(f"r{turn}"), "lot", "bin").alias("container"), (F.col("held") < capacity).alias("open")), "filled")
+        done.append(named.where("NOT open").select("id", "tokens", "container"))
+        now = named.where("open").select("id", "tokens")
+        lots, turn = min(lots - 1, max(1, -(-now.count() // task_items))), turn + 1
+    named = done[0]
+    for more in done[1:]:
+        named = named.unionByName(more)
     where = parts.join(named.select("id", "container"), "id", "left")
     own = F.when(F.col("tokens") == capacity, F.concat(F.lit("w-"), "id")).when(F.col("tokens") == 0, F.lit("0"))
     return where.select("shard_id", "item_no", "part_no", "start", "tokens", F.coalesce("container", own).alias("container_id"))
