@@ -27,15 +27,17 @@ TOLERANCE = UNITS // 8
 #: Share of the larger record's notes that must have partners.
 SHARE = 0.7
 #: MinHash values of a record, each cut to a byte, and how many have been compared at each decision.
-HASHES, STEPS = 128, (64, 96, 128)
+HASHES, STEPS = 64, (32, 64)
 #: Least Jaccard similarity of the (pitch, occurrence) sets of a case.
 LEAST = SHARE / (2 - SHARE)
 #: A pair is dropped when the posterior probability that it reaches LEAST is below this.
 TOLERATED = 1e-4
-#: Pitches are counted in so many bins; higher ones fold onto lower.
-BINS = 128
-#: Records compared with each other at once; a task holds two such blocks.
-BLOCK = 8192
+#: Pitches are counted in so many bins (higher ones fold onto lower), and first compared in so many coarse ones.
+BINS, COARSE = 128, 16
+#: Records compared with each other at once, and their notes; a task holds two such blocks.
+BLOCK, BLOCK_NOTES = 16384, 8_000_000
+#: Pairs whose offsets are looked through together.
+PAIRS = 512
 #: Occurrences of a pitch whose hashes are kept in a table.
 _OFTEN = 64
 #: A passage that stands elsewhere must hold this share of the larger record's notes, and this many notes.
@@ -106,7 +108,9 @@ def signature_columns(file_id: np.ndarray, onset: np.ndarray, pitch: np.ndarray)
     rel = onset - np.repeat(onset[start], size)
     exact = np.add.reduceat(_mix(rel.astype(np.uint64) * np.uint64(131) + pitch.astype(np.uint64) + np.uint64(1)), start)
     exact = _mix(exact ^ _mix(size.astype(np.uint64)))
-    on, pi = onset.astype(np.int32), pitch.astype(np.uint8)
+    steps = np.diff(rel, prepend=0).astype(np.int32)  # ticks since the note before; small numbers, which compress
+    steps[start] = 0
+    pi = pitch.astype(np.uint8)
     mins = min_hashes(np.repeat(np.arange(len(start)), size), pi, start)
     cut = list(zip(start.tolist(), (start + size).tolist()))
     return pa.RecordBatch.from_arrays(
@@ -114,15 +118,15 @@ def signature_columns(file_id: np.ndarray, onset: np.ndarray, pitch: np.ndarray)
             pa.array(file_id[start]),
             pa.array(size.astype(np.int32)),
             pa.array(exact.view(np.int64)),
-            pa.array([on[a:b].tobytes() for a, b in cut], pa.binary()),
+            pa.array([steps[a:b].tobytes() for a, b in cut], pa.binary()),
             pa.array([pi[a:b].tobytes() for a, b in cut], pa.binary()),
             pa.array([row.tobytes() for row in mins], pa.binary()),
         ],
-        names=["file_id", "n", "exact", "onset", "pitch", "mins"],
+        names=["file_id", "n", "exact", "steps", "pitch", "mins"],
     )
 
 
-_SIGNED = "file_id long, n int, exact long, onset binary, pitch binary, mins binary"
+_SIGNED = "file_id long, n int, exact long, steps binary, pitch binary, mins binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +164,7 @@ def counted_notes(notes: DataFrame) -> DataFrame:
 
 
 def signed_records(records: DataFrame, notes: DataFrame) -> DataFrame:
-    """One row per current record with notes: file_id, n, exact (hash of its notes), onset, pitch, mins (MinHash bytes)."""
+    """One row per current record with notes: file_id, n, exact (hash of its notes), steps (onsets, each since the one before, from the first note on), pitch, mins (MinHash bytes)."""
     tpb = current_rows(records.select("file_id", "ingested_at", "ticks_per_beat"), "file_id", "ingested_at").selectExpr("file_id", "cast(coalesce(ticks_per_beat, 480) as double) as tpb").where("tpb > 0")
     return counted_notes(notes).join(tpb, "file_id").repartition("file_id").sortWithinPartitions("file_id").mapInArrow(_sign, _SIGNED)
 
@@ -170,19 +174,20 @@ def _least(n: np.ndarray | int) -> np.ndarray | int:
     return SHARE * n - 1e-6
 
 
-def size_blocks(counts: list[tuple[int, int]], rows: int = BLOCK) -> list[tuple[int, int, int]]:
-    """(notes, records with so many notes), ascending -> (least notes, most notes, parts) of runs of about `rows` records.
+def size_blocks(counts: list[tuple[int, int]], rows: int = BLOCK, notes: int = BLOCK_NOTES) -> list[tuple[int, int, int]]:
+    """(notes, records with so many notes), ascending -> (least notes, most notes, parts) of runs of about `rows` records, fewer where they hold more than `notes`.
 
     A single number of notes that has more records is cut in parts by hash.
     """
     out: list[tuple[int, int, int]] = []
     held = 0
     for n, k in counts:
-        if out and held + k <= rows:
+        fit = max(1, min(rows, notes // max(1, n)))
+        if out and held + k <= fit:
             out[-1] = (out[-1][0], n, 1)
             held += k
         else:
-            out.append((n, n, -(-k // rows)))
+            out.append((n, n, -(-k // fit)))
             held = k
     return out
 
@@ -194,61 +199,89 @@ def pitch_counts(pitches: list[bytes]) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(pitches)), size) * BINS + bins, minlength=len(pitches) * BINS).reshape(-1, BINS).astype(np.int32)
 
 
+def _narrow(counts: np.ndarray, most: int) -> np.ndarray:
+    """Counts in the smallest type that holds `most`, the largest sum of a row."""
+    return counts.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64)
+
+
 def alike(n: np.ndarray, mins: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(row of x, rows of y) that survive the comparison of MinHash values and have SHARE of the larger record's pitches in common; of equal sets x and y each pair once."""
+    """(row of x, rows of y) that may be cases; of equal sets x and y each pair once.
+
+    Three sieves: pitch counts in COARSE bins of about equal weight, whose common part bounds that of the pitches; MinHash
+    values, step by step; the pitches themselves, of which SHARE of the larger record must be common.
+    """
     itself = x is y
     y = y[np.argsort(n[y], kind="stable")]
     x = y if itself else x
-    by_row = np.ascontiguousarray(mins[y])
-    by_hash = np.ascontiguousarray(by_row[:, : STEPS[0]].T)
-    counts = counts[:, counts.any(axis=0)].astype(np.int16 if counts.max(initial=0) < 1 << 15 else np.int32)
-    n_y, held = n[y], counts[y]
+    most = int(n.max(initial=0))
+    mass = counts.sum(axis=0, dtype=np.int64).cumsum()
+    group = np.minimum((mass * COARSE - 1) // max(1, int(mass[-1])), COARSE - 1)
+    coarse = _narrow(np.stack([counts[:, group == g].sum(axis=1) for g in range(COARSE)], axis=1), most)
+    counts = _narrow(counts[:, counts.any(axis=0)], most)
+    n_y, held, mins_y, coarse_y = n[y], counts[y], mins[y], np.ascontiguousarray(coarse[y].T)
     lo, hi = np.searchsorted(n_y, _least(n[x])), np.searchsorted(n_y, (n[x] + 1e-6) / SHARE, side="right")
     if itself:
         lo = np.arange(1, len(x) + 1)
-    need_y, fewest = _least(n_y), least_agreement()
-    buffer = np.empty(STEPS[0] * len(y), bool)
+    need_y, fewest = np.ceil(_least(n_y)).astype(coarse.dtype), least_agreement()
+    least = np.ceil(_least(n)).astype(coarse.dtype)
+    buffer = np.empty(COARSE * len(y), coarse.dtype)
     for k, i in enumerate(x.tolist()):
         a, b = int(lo[k]), int(hi[k])
         if a >= b:
             continue
-        mine = mins[i]
-        same = np.equal(by_hash[:, a:b], mine[: STEPS[0], None], out=buffer[: STEPS[0] * (b - a)].reshape(STEPS[0], -1))
-        equal = np.add.reduce(same.view(np.uint8), axis=0, dtype=np.uint8)
-        at = np.flatnonzero(equal >= fewest[0])
-        equal = equal[at]
-        for s, (done, upto) in enumerate(zip(STEPS, STEPS[1:]), 1):
-            equal += (by_row[a + at, done:upto] == mine[done:upto]).view(np.uint8).sum(axis=1, dtype=np.uint8)
-            kept = equal >= fewest[s]
-            at, equal = at[kept], equal[kept]
+        common = np.minimum(coarse_y[:, a:b], coarse[i][:, None], out=buffer[: COARSE * (b - a)].reshape(COARSE, -1))
+        need = np.maximum(need_y[a:b], least[i])
+        at = np.flatnonzero(np.add.reduce(common, axis=0, dtype=common.dtype) >= need)
+        need, mine = need[at], mins[i]
+        equal = np.zeros(len(at), np.uint8)
+        for (done, upto), few in zip(zip((0, *STEPS), STEPS), fewest):
+            equal += (mins_y[a + at, done:upto] == mine[done:upto]).view(np.uint8).sum(axis=1, dtype=np.uint8)
+            kept = equal >= few
+            at, equal, need = at[kept], equal[kept], need[kept]
         if len(at):
-            need = np.maximum(need_y[a + at], _least(n[i]))
             at = at[np.minimum(held[a + at], counts[i]).sum(axis=1) >= need]
         if len(at):
             yield i, y[a + at]
 
 
 def _join_block(key: tuple, group: pa.Table) -> pa.Table:
-    """The rows of two blocks (or of one, with itself) -> pairs that may be cases."""
+    """The rows of two blocks (or of one, with itself) -> the pairs that are cases."""
     group = group.combine_chunks()
     ids, n, side = (group.column(c).to_numpy() for c in ("file_id", "n", "side"))
     mins = np.frombuffer(b"".join(group.column("mins").to_pylist()), np.uint8).reshape(-1, HASHES)
-    counts = pitch_counts(group.column("pitch").to_pylist())
+    pitches = group.column("pitch").to_pylist()
+    counts = pitch_counts(pitches)
+    rows = Records(n, counts, [np.cumsum(np.frombuffer(o, np.int32), dtype=np.int32) for o in group.column("steps").to_pylist()], [np.frombuffer(p, np.uint8) for p in pitches])
     x = np.flatnonzero(side == 0)
     y = np.flatnonzero(side == 1) if key[0].as_py() != key[1].as_py() else x
-    lo, hi = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    pairs = []
+
+    def settle(found: list[tuple[int, np.ndarray]]) -> None:
+        if not found:
+            return
+        one, other = np.repeat([i for i, _ in found], [len(js) for _, js in found]), np.concatenate([js for _, js in found])
+        lo, hi = np.where(ids[one] < ids[other], one, other), np.where(ids[one] < ids[other], other, one)
+        for s in range(0, len(lo), PAIRS):
+            left = promising(rows, lo[s : s + PAIRS], hi[s : s + PAIRS])
+            pairs.extend((ids[a], ids[b]) for a, b in zip(lo[s : s + PAIRS][left].tolist(), hi[s : s + PAIRS][left].tolist()) if is_case(rows.onset[a], rows.pitch[a], rows.onset[b], rows.pitch[b]))
+
+    found, held = [], 0
     for i, js in alike(n, mins, counts, x, y):
-        lo.append(np.minimum(ids[i], ids[js]))
-        hi.append(np.maximum(ids[i], ids[js]))
-    return pa.table({"a": pa.array(np.concatenate(lo), pa.int64()), "b": pa.array(np.concatenate(hi), pa.int64())})
+        found.append((i, js))
+        held += len(js)
+        if held >= PAIRS:
+            settle(found)
+            found, held = [], 0
+    settle(found)
+    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
-def candidate_links(signed: DataFrame) -> DataFrame:
-    """`file_id`, `n`, `pitch`, `mins` -> `a` < `b`: every two records whose MinHash values leave it possible that they are a case.
+def verified_links(signed: DataFrame) -> DataFrame:
+    """Signed records -> `a` < `b`: every two records whose notes satisfy the definition.
 
     Records are cut in blocks by their number of notes, and each block is compared with those whose numbers are near enough,
-    so no pair is left to the chance of sharing a band. The comparisons grow with the square of the records; most end after
-    one chunk, at a few nanoseconds.
+    so no pair is left to the chance of sharing a band. The comparisons grow with the square of the records; all but a few
+    in a thousand end in the first two sieves, at some ten nanoseconds.
     """
     blocks = size_blocks([(r["n"], r["k"]) for r in signed.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").collect()])
     parts = [(lo, hi, k, of) for lo, hi, of in blocks for k in range(of)]
@@ -256,9 +289,10 @@ def candidate_links(signed: DataFrame) -> DataFrame:
     meets = [(x, y) for x in range(len(parts)) for y in range(x, len(parts)) if parts[x][1] >= _least(parts[y][0])]
     places = [(*parts[v], x, y, side) for x, y in meets for side, v in enumerate((x, y)) if side == 0 or x != y]
     where = spark.createDataFrame(places, "lo int, hi int, part int, parts int, x int, y int, side int")
-    rows = signed.select("file_id", "n", "pitch", "mins")
-    placed = rows.join(F.broadcast(where), F.expr("n BETWEEN lo AND hi AND part = pmod(xxhash64(file_id), parts)"))
-    return placed.select("x", "y", "side", "file_id", "n", "pitch", "mins").groupBy("x", "y").applyInArrow(_join_block, "a long, b long")
+    cols = ["file_id", "n", "steps", "pitch", "mins"]
+    placed = signed.select(*cols).join(F.broadcast(where), F.expr("n BETWEEN lo AND hi AND part = pmod(xxhash64(file_id), parts)"))
+    tasks = max(1, len(meets))
+    return placed.select("x", "y", "side", *cols).repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(_join_block, "a long, b long")
 
 
 def same_pitch(p_a: np.ndarray, p_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,24 +312,46 @@ def _passage(big: int) -> int:
     return max(PASSAGE_NOTES, int(np.ceil(PASSAGE_SHARE * big)))
 
 
-def promising(on: list[np.ndarray], pitch: list[np.ndarray], on_b: np.ndarray, p_b: np.ndarray) -> np.ndarray:
-    """Of several records against one, those with any offset at which enough notes meet to begin a passage.
+class Records:
+    """Notes of many records: as they are, and end to end in order of pitch, with where each pitch begins."""
+
+    def __init__(self, n: np.ndarray, counts: np.ndarray, onset: list[np.ndarray], pitch: list[np.ndarray]) -> None:
+        self.n, self.counts, self.onset, self.pitch = n.astype(np.int64), counts, onset, pitch
+        self.start = np.cumsum(self.n) - self.n
+        pi, on = (np.concatenate(c).astype(np.int64) if len(c) else np.empty(0, np.int64) for c in (pitch, onset))
+        order = np.lexsort((pi % BINS, np.repeat(np.arange(len(n)), self.n)))
+        self.bins, self.flat = (pi % BINS)[order], on[order]
+        self.first = self.start[:, None] + np.cumsum(counts, axis=1) - counts
+        self.last = np.array([int(o[-1]) if len(o) else 0 for o in onset], np.int64)
+
+
+def _runs(size: np.ndarray) -> np.ndarray:
+    """0, 1, .. of each size, end to end."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def promising(rows: Records, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (rows a, rows b) can be cases by the offsets at which their notes of one pitch meet.
 
     Offsets are counted in cells a little wider than the window of one passage, so every window lies in two neighbouring
-    cells, whose sum bounds what it can hold; no case is lost.
+    cells, whose sum bounds what it holds. A passage needs enough notes, so all passages lie in the cells of such
+    windows, and those must hold SHARE of the larger record's notes together. No case is lost.
     """
-    size = np.fromiter(map(len, pitch), np.int64, len(pitch))
-    owner = np.repeat(np.arange(len(pitch)), size)
-    i, j = same_pitch(p_b, np.concatenate(pitch))
-    d = on_b[i].astype(np.int64) - np.concatenate(on)[j]
-    least = np.minimum(np.maximum([_passage(max(n, len(p_b))) for n in size.tolist()], 0), np.minimum(size, len(p_b)))
-    if not len(d):
-        return least <= 0
-    cell = (d - d.min()) // (2 * TOLERANCE + 32)
-    width = int(cell.max()) + 2  # an empty cell between two records
-    held = np.bincount(cell + owner[j] * width, minlength=width * len(pitch) + 1)
-    most = (held[:-1] + held[1:]).reshape(len(pitch), width).max(axis=1)
-    return most >= least
+    size = rows.n[a]
+    owner = np.repeat(np.arange(len(a)), size)
+    mine = np.repeat(rows.start[a], size) + _runs(size)
+    meet = rows.counts[b[owner], rows.bins[mine]].astype(np.int64)
+    theirs = np.repeat(rows.first[b[owner], rows.bins[mine]], meet) + _runs(meet)
+    d = rows.flat[theirs] - np.repeat(rows.flat[mine] - rows.last[a[owner]], meet)  # from 0 on
+    step = 2 * TOLERANCE + 32
+    width = (rows.last[a] + rows.last[b]) // step + 2  # an empty cell between two pairs
+    at = np.cumsum(width) - width
+    held = np.bincount(d // step + np.repeat(at[owner], meet), minlength=int(width.sum()) + 1)
+    big, small = np.maximum(rows.n[a], rows.n[b]), np.minimum(rows.n[a], rows.n[b])
+    least = np.minimum(np.maximum(PASSAGE_NOTES, np.ceil(PASSAGE_SHARE * big)), small)
+    window = np.r_[False, held[:-1] + held[1:] >= np.repeat(least, width), False]
+    inside = np.where(window[:-1] | window[1:], held, 0)
+    return np.add.reduceat(inside[:-1], at) >= SHARE * big - 1e-6
 
 
 def matched_notes(on_a: np.ndarray, p_a: np.ndarray, on_b: np.ndarray, p_b: np.ndarray) -> int:
@@ -337,36 +393,6 @@ def is_case(on_a: np.ndarray, p_a: np.ndarray, on_b: np.ndarray, p_b: np.ndarray
     return big > 0 and min(len(p_a), len(p_b)) >= SHARE * big and matched_notes(on_a, p_a, on_b, p_b) >= SHARE * big
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both records' notes -> those that are cases. Neighbouring rows of one `b` are first looked through together."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        on_a, p_a, on_b, p_b = (batch.column(n).to_pylist() for n in range(2, 6))
-        other = batch.column(1).to_numpy()
-        ok = np.zeros(batch.num_rows, bool)
-        first = np.flatnonzero(np.r_[True, other[1:] != other[:-1]]).tolist()
-        for lo, hi in zip(first, [*first[1:], batch.num_rows]):
-            for s in range(lo, hi, 64):
-                part = range(s, min(hi, s + 64))
-                on, pitch = [np.frombuffer(on_a[k], np.int32) for k in part], [np.frombuffer(p_a[k], np.uint8) for k in part]
-                ob, pb = np.frombuffer(on_b[s], np.int32), np.frombuffer(p_b[s], np.uint8)
-                for k in np.flatnonzero(promising(on, pitch, ob, pb)).tolist():
-                    ok[s + k] = is_case(on[k], pitch[k], ob, pb)
-        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
-
-
-def _with_both(pairs: DataFrame, signed: DataFrame, cols: list[str]) -> DataFrame:
-    left = signed.select(F.col("file_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols])
-    right = signed.select(F.col("file_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols])
-    return pairs.join(left, "a").join(right, "b").select("a", "b", *[f"{c}_{s}" for s in "ab" for c in cols])
-
-
-def verified(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs whose notes satisfy the definition exactly."""
-    return _with_both(pairs, signed, ["onset", "pitch"]).mapInArrow(_verify, "a long, b long")
-
-
 def music_links(records: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
@@ -377,7 +403,7 @@ def music_links(records: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFr
     least = signed.groupBy("exact", "n").agg(F.min("file_id").alias("rep"))
     members = materialise(signed.select("file_id", "exact", "n").join(least, ["exact", "n"]).select("file_id", "rep"), "members")
     reps = signed.join(members.where("file_id = rep").select("file_id"), "file_id", "left_semi")
-    return members, materialise(verified(candidate_links(reps), signed), "links")
+    return members, materialise(verified_links(reps), "links")
 
 
 def same_music_pairs(records: DataFrame, notes: DataFrame) -> DataFrame:
