@@ -124,7 +124,10 @@ def parse_artist(name: str) -> dict:
         return {"core": [], "kind": [], "initials": [], "keys": []}
     tokens = [t for t in tokens if t not in ("of", "from")] or tokens
     tokens = [p for t in tokens for p in (_peel(t) if len(tokens) == 1 else [t])]
-    kind = [w for t in tokens if (w := _ensemble_word(t)) and len(tokens) > 1]
+    typed = [t for t in tokens if _ensemble_word(t)] if len(tokens) > 1 else []
+    kind = [_ensemble_word(t) for t in typed]
+    if kind and kind[-1] in ADJECTIVES and typed[-1] != kind[-1]:  # the last word names the ensemble: an abbreviation there is a noun's, if one begins so
+        kind[-1] = next((w for w in ENSEMBLE if w not in ADJECTIVES and w.startswith(typed[-1])), kind[-1])
     if len(kind) == len(tokens):
         kind = kind[:-1]
     rest = [t for t in tokens if not (len(tokens) > 1 and _ensemble_word(t))] or tokens[-1:]
@@ -133,9 +136,8 @@ def parse_artist(name: str) -> dict:
     initials = [c for t in rest if len(t) == 1 or t in acronym for c in t]
     if not core:
         return {"core": [], "kind": [], "initials": [], "keys": []}
-    if "choir" not in kind and "chamber" in kind and kind.count("chamber") == 1 and "community" in kind:
-        kind = ["choir" if w == "chamber" else w for w in kind]
-    keys = ["".join(core[i:] + core[:i]) for i in range(len(core))]
+    # typed order first, the rotations (a typo may change the sorted order), and the sorted order, in which all orders meet
+    keys = ["".join(core[i:] + core[:i]) for i in range(len(core))] + ["".join(sorted(core))]
     return {"core": core, "kind": sorted(kind), "initials": initials, "keys": list(dict.fromkeys(keys))}
 
 
@@ -242,7 +244,7 @@ class Trie:
         node.setdefault(None, []).append(ident)
 
     def near(self, key: str, k: int) -> Iterator[int]:
-        """Ids of all keys within k insertions, deletions and substitutions, by running the Levenshtein automaton of `key`.
+        """Ids of all keys within k insertions, deletions, substitutions and swaps of neighbours, by running the Levenshtein automaton of `key`.
 
         A state is the set of (position in key, edits so far) without those another one subsumes; a branch of the trie
         ends where the set becomes empty. Steps are memoised per key.
@@ -252,23 +254,29 @@ class Trie:
 
         def step(state: frozenset, c: str) -> frozenset:
             out: dict[int, int] = {}
+            half = set()  # a swap of neighbours begun: the second letter has been read, the first is due
             for i, e in state:
+                if i < 0:  # coded as -1 - place
+                    if key[-1 - i] == c and e < out.get(1 - i, k + 1):
+                        out[1 - i] = e
+                    continue
                 hit = key.find(c, i, i + k - e + 1)
-                for j, f in ((hit + 1, e + hit - i), ) if hit >= 0 else ():
-                    if f < out.get(j, k + 1):
-                        out[j] = f
+                if hit >= 0 and e + hit - i < out.get(hit + 1, k + 1):
+                    out[hit + 1] = e + hit - i
                 if e < k:
                     for j in (i, i + 1) if i < n else (i,):
                         if e + 1 < out.get(j, k + 1):
                             out[j] = e + 1
-            return frozenset((i, e) for i, e in out.items() if not any(f < e and abs(i - j) <= e - f for j, f in out.items()))
+                    if i + 1 < n and key[i + 1] == c != key[i]:
+                        half.add((-1 - i, e + 1))
+            return frozenset((i, e) for i, e in out.items() if not any(f < e and abs(i - j) <= e - f for j, f in out.items())) | half
 
         stack = [(self.root, frozenset({(0, 0)}))]
         while stack:
             node, state = stack.pop()
             for c, child in node.items():
                 if c is None:
-                    if any(n - i + e <= k for i, e in state):
+                    if any(i >= 0 and n - i + e <= k for i, e in state):
                         yield from child
                     continue
                 at = (state, c)
@@ -303,10 +311,15 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     k = _reach(m)
                     if abs(m - n) > k:
                         continue
-                    for s, (a, b) in enumerate(_segments(m, k + 1)):
+                    cuts = _segments(m, k + 1)
+                    for s, (a, b) in enumerate(cuts):
                         for d in range(-k, k + 1):
                             if a + d >= 0 and b + d <= n:
                                 seen.add(f"{space}\t{m}\t{s}\t{key[a + d : b + d]}")
+                    if k == 1 and m == n:  # a swap over the cut changes both pieces: undo it
+                        for (a, b), (_, z) in zip(cuts, cuts[1:]):
+                            if a < b < z:
+                                seen.add(f"{space}\t{m}\t0\t{key[a : b - 1] + key[b]}")
                 rows.extend((x, ident, key, 1) for x in seen)
         yield pd.DataFrame(rows, columns=["shard", "id", "key", "probe"])
 
@@ -389,7 +402,7 @@ def name_links(parsed: DataFrame) -> DataFrame:
     head = main.groupBy("space", "key", "initials").agg(F.min("id").alias("head"))
     equal = main.join(head, ["space", "key", "initials"]).where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     reps = full.join(head.select(F.col("head").alias("id")), "id", "left_semi")
-    found = trie_join(reps.select("id", "space", F.explode("keys").alias("key")), reps.select("id", "space", F.col("keys")[0].alias("key")), same=True)
+    found = trie_join(reps.select("id", "space", F.explode("keys").alias("key")), reps.select("id", "space", F.explode(F.array_distinct(F.when(F.size("core") > 2, F.array(F.col("keys")[0], F.element_at("keys", -1))).otherwise(F.array(F.col("keys")[0])))).alias("key")), same=True)
     info = reps.select("id", "field", "core", "initials")
     checked = (
         found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -398,7 +411,8 @@ def name_links(parsed: DataFrame) -> DataFrame:
         .mapInPandas(_agree, "a long, b long")
     )
     sure = materialise(equal.unionByName(checked), "namelinks")
-    return sure.unionByName(_initial_links(parsed, sure)).unionByName(_contraction_links(parsed, sure))
+    classes = materialise(components(sure.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "nameclasses")
+    return sure.unionByName(_initial_links(parsed, classes)).unionByName(_contraction_links(parsed, classes))
 
 
 def _unique(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -407,7 +421,7 @@ def _unique(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return named.groupBy("a").agg(F.min("root").alias("b"), F.max("root").alias("most")).where("b = most").select("a", "b")
 
 
-def _initial_links(parsed: DataFrame, sure: DataFrame) -> DataFrame:
+def _initial_links(parsed: DataFrame, classes: DataFrame) -> DataFrame:
     """R. Name, Name R., and X C. Band, where exactly one class of fuller names fits."""
     artists = parsed.where("field = 'artist'")
     person = artists.where("kind = '' AND size(core) > 1")
@@ -416,7 +430,7 @@ def _initial_links(parsed: DataFrame, sure: DataFrame) -> DataFrame:
     token = person.select("id", "core", "initials", F.posexplode("core").alias("at", "key"))
     others = F.expr("filter(core, (t, i) -> i <> at)")
     token = token.select("id", "key", F.concat_ws("", F.transform(others, lambda t: F.substring(t, 1, 1)), "initials").alias("letters"))
-    toks = token.where("length(key) >= 4").groupBy("key").agg(F.min("id").alias("id"))
+    toks = token.groupBy("key").agg(F.min("id").alias("id"))
     probes = short.select("id", F.lit("i").alias("space"), F.col("core")[0].alias("key"))
     near = trie_join(toks.select("id", F.lit("i").alias("space"), "key"), probes)
     hit = near.join(toks.select(F.col("id").alias("b"), "key"), "b").join(token.withColumnRenamed("id", "p"), "key")
@@ -434,16 +448,17 @@ def _initial_links(parsed: DataFrame, sure: DataFrame) -> DataFrame:
     spelt = band.where("initials = ''").select(F.col("id").alias("b"), F.concat_ws(" ", "core").alias("core"), letters)
     acronym = short.where("length(initials) > 1").select(F.col("id").alias("a"), F.concat_ws(" ", "core").alias("core"), F.array_join(F.array_sort(F.split("initials", "")), "").alias("letters"))
     hit = hit.unionByName(acronym.join(spelt, ["core", "letters"]).select("a", "b"))
-    classes = components(sure.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return _unique(hit.distinct(), materialise(classes, "nameclasses"))
+    return _unique(hit.distinct(), classes)
 
 
-def _contraction_links(parsed: DataFrame, sure: DataFrame) -> DataFrame:
+def _contraction_links(parsed: DataFrame, classes: DataFrame) -> DataFrame:
     titles = parsed.where("field = 'title' AND bone <> ''")
     a = titles.where("contracted").select(F.col("id").alias("a"), "bone")
     b = titles.where("NOT contracted").select(F.col("id").alias("b"), "bone")
-    classes = components(sure.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return _unique(a.join(b, "bone").select("a", "b"), classes)
+    # one row a bone and class first, so that no bone multiplies its spellings
+    named = b.join(classes.select(F.col("node").alias("b"), "root"), "b", "left").select("bone", F.coalesce("root", "b").alias("root"))
+    fold = named.groupBy("bone").agg(F.min("root").alias("b"), F.max("root").alias("most")).where("b = most").select("bone", "b")
+    return a.join(fold, "bone").select("a", "b")
 
 
 def name_classes(records: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from melisma.llm.near import music_links
 from melisma.operators.graph import components
 from melisma.tables import current_rows, materialise
 
-#: Size bands of groups, by their share of a split's room; each band is dealt on its own.
-BANDS = (0.5, 0.1, 0.01, 0.001)
+#: Groups above this share of all records are placed one by one; the others are dealt within bands of size, each a power of two.
+LARGE = 0.001
 
 
 def current_records(records: DataFrame) -> DataFrame:
@@ -102,10 +102,10 @@ def related_groups(records: DataFrame, notes: DataFrame) -> DataFrame:
 def assign_splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
     """`file_id`, `group_file_id`, `split`: every group whole in one split, shares of records as near the targets as groups allow.
 
-    Groups are stratified by size band. A group of a band above the first is rare and large: those (at most
-    1 / BANDS[-1] of them can exist, whatever the data's size) are placed largest first where most room is left, on the
-    driver. The groups of the last band are laid end to end in hash order and dealt systematically: the split whose
-    remaining room covers a group's middle takes it. Null or negative target shares count as none.
+    Groups above LARGE of all records (at most 1 / LARGE can exist, whatever the data's size) are placed largest first where
+    most room is left, on the driver. The others are stratified by size band (powers of two); a band's groups are laid end
+    to end in hash order and dealt systematically: the split whose share of the band covers a group's middle takes it.
+    Null or negative target shares count as none.
     """
     groups = materialise(groups.select("file_id", "group_file_id"), "groups")
     size = groups.groupBy("group_file_id").agg(F.count("*").alias("size"))
@@ -115,30 +115,25 @@ def assign_splits(groups: DataFrame, targets: DataFrame) -> DataFrame:
     if not want or not whole or not total:
         return groups.select("file_id", "group_file_id", F.lit(None).cast("string").alias("split")).limit(0) if not total else groups.withColumn("split", F.lit(None).cast("string"))
     room = {n: s / whole * total for n, s in want}
-    big = size.where(F.col("size") > BANDS[-1] * total).orderBy(F.desc("size"), "group_file_id").collect()
+    big = size.where(F.col("size") > LARGE * total).orderBy(F.desc("size"), "group_file_id").collect()
     placed = []
     for g, n in big:
         to = max(room, key=lambda x: (min(room[x] - n, 0), room[x]))
         room[to] -= n
         placed.append((g, to))
     rest = {n: max(v, 0.0) for n, v in room.items()}
-    left = total - sum(n for _, n in big)
-    scale = left / sum(rest.values()) if sum(rest.values()) else 0.0
-    small = size.where(F.col("size") <= BANDS[-1] * total)
-    # running positions without one global window: sums per hash bucket first, then within the bucket
-    buckets = 4096
-    small = small.withColumn("h", F.xxhash64("group_file_id")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    start = small.groupBy("bucket").agg(F.sum("size").alias("n"))
-    start = start.select("bucket", (F.sum("n").over(W.orderBy("bucket")) - F.col("n")).alias("before"))
-    within = F.sum("size").over(W.partitionBy("bucket").orderBy("h", "group_file_id")) - F.col("size") / 2
-    laid = small.withColumn("within", within).join(F.broadcast(start), "bucket").withColumn("at", F.col("before") + F.col("within"))
+    whole = sum(rest.values()) or 1.0
+    small = size.where(F.col("size") <= LARGE * total)
+    # running positions without one window a band: sums per hash bucket first, then within the bucket
+    small = small.withColumn("band", F.floor(F.log2("size"))).withColumn("h", F.xxhash64("group_file_id")).withColumn("bucket", F.pmod("h", F.lit(4096)))
+    start = small.groupBy("band", "bucket").agg(F.sum("size").alias("n"))
+    start = start.select("band", "bucket", (F.sum("n").over(W.partitionBy("band").orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(W.partitionBy("band")).alias("held"))
+    within = F.sum("size").over(W.partitionBy("band", "bucket").orderBy("h", "group_file_id")) - F.col("size") / 2
+    laid = small.withColumn("within", within).join(start, ["band", "bucket"]).withColumn("at", (F.col("before") + F.col("within")) / F.col("held"))
     pick, upto = F.lit(want[0][0]), 0.0
-    cuts = []
     for n, v in rest.items():
-        cuts.append((upto, n))
-        upto += v * scale
-    for lo, n in cuts:
-        pick = F.when(F.col("at") >= lo, F.lit(n)).otherwise(pick) if rest[n] > 0 else pick
+        pick = F.when(F.col("at") >= upto, F.lit(n)).otherwise(pick) if v > 0 else pick
+        upto += v / whole
     dealt = laid.select("group_file_id", pick.alias("split"))
     spark = groups.sparkSession
     if placed:
