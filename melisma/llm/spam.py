@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SHARE = 0.5
 #: Block length, in characters of normalised text, at which redundancy is measured.
 BLOCK = 1200
+#: Text shorter than this in all is too little for compression to tell anything.
+LEAST_TEXT = 120
 #: A block is redundant if it compresses to less than this share of what prose of its length and language does.
 REDUNDANT = 0.92
 #: A block of any text, sentences included, is stuffed if it compresses to less than this share, and its different sentences to less than DISTINCT.
@@ -33,7 +35,7 @@ PROSE = {"en": (0.36, 6.0), "de": (0.36, 6.0), "fr": (0.34, 6.0), "es": (0.34, 6
 FUNCTION = frozenset(
     "the a an and or but if then than that this these those is are was were be been it its it's i you he she we they my your his her our their me him us them to of in on at by for from with as into after before "
     "not no nor so do does did has have had can could would should will there here what which who whose when where while because only just more most some any each "
-    "oh la still home late der die das den dem des ein eine einen einem einer und oder aber wenn dass ist sind war waren nicht nur mit von zu zum zur im in am auf aus bei nach vor für als wie es sie er wir ich wer was "
+    "der die das den dem des ein eine einen einem einer und oder aber wenn dass ist sind war waren nicht nur mit von zu zum zur im in am auf aus bei nach vor für als wie es sie er wir ich wer was "
     "le la les un une des du de et ou mais si que qui est sont était ne pas plus dans sur sous par pour avec au aux ce cette il elle nous vous ils on se sa son ses en "
     "el los las una unos unas y o pero si no es son fue con sin por para en del al que se su sus lo más entre hay".split()
 )
@@ -56,9 +58,20 @@ _RUN = re.compile(r"(.)\1{3,}", re.S)
 _CHANGE = re.compile(r"^\s*[-*+•]\s+\w+(?:\s+\w+){1,6}$")
 
 
+def _repaired(text: str) -> str:
+    """UTF-8 that was read as Latin-1 or Windows-1252, read anew; other text as it is."""
+    if re.search("[\u00c2-\u00ef][\u0080-\u00bf\u2018-\u203a\u20ac]", text):
+        for encoding in ("latin-1", "cp1252"):
+            try:
+                return text.encode(encoding).decode("utf-8")
+            except UnicodeError:
+                pass
+    return text
+
+
 def unveil(text: str) -> str:
-    """Entities, invisible characters, full-width forms and digits that stand for letters inside words are undone."""
-    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", html.unescape(text)))
+    """Broken encodings, entities, invisible characters, full-width forms and digits that stand for letters inside words are undone."""
+    text = _HIDDEN.sub("", unicodedata.normalize("NFKC", html.unescape(_repaired(text))))
     return re.sub(r"\r\n?| | |\x85", "\n", text)
 
 
@@ -163,7 +176,7 @@ def stuffed(block: list[str], lang: str | None) -> bool:
     """Whether a block is extremely redundant, punctuated or not; a passage of prose that is only repeated isn't, since its different sentences are ordinary."""
     whole = _RUN.sub(r"\1", "\n".join(block))
     by = language(lang, whole)
-    if redundancy(whole, by) >= EXTREME:
+    if len(whole) < LEAST_TEXT or redundancy(whole, by) >= EXTREME:
         return False
     return redundancy(_RUN.sub(r"\1", "\n".join(dict.fromkeys(t.lower() for t in block))), by) < DISTINCT
 
@@ -184,7 +197,7 @@ def spam_share(text: str, lang: str | None) -> float:
             bad.update(i for i, _ in block)
     for block in _blocks([(i, t) for i, (kind, t) in enumerate(parts) if kind in ("link", "tag", "loose")]):
         plain = "".join(t + "\n" for _, t in block)
-        if redundancy(plain, language(lang, plain)) < REDUNDANT or len(_LINK.findall(plain)) * 40 >= len(plain) * 0.3:
+        if len(plain) >= LEAST_TEXT and redundancy(plain, language(lang, plain)) < REDUNDANT or len(_LINK.findall(plain)) * 40 >= len(plain) * 0.3:
             bad.update(i for i, _ in block)
     return sum(_size(parts[i][1]) for i in bad) / total
 

@@ -46,3 +46,17 @@ def test_a_long_line_is_measured_block_by_block():
     words = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=7)) for k in range(2000)]
     line = " ".join(words[:600]) + " " + "hot karaoke discs " * 120
     assert 0.2 < spam.spam_share(line, "en") < 0.5
+
+
+def test_short_oddities_are_not_pages_of_spam():
+    for text in ("\x07\x1b[0m bell", "tab\tseparated\t\tvalues\n\n\n\nand    runs  of spaces   ", "<|endoftext|>", "0" * 40 + " 1234567890123", "", " \n "):
+        assert spam.spam_share(text, None) <= spam.SHARE
+
+
+def test_patterns_stay_linear_on_long_lines():
+    import time
+
+    for line in ("A_" * 400_000, "a" * 800_000, "C/" * 400_000, "1, " * 300_000, "- " * 400_000, "#" * 500_000, "www." * 200_000, "A B" * 300_000 + "_"):
+        began = time.time()
+        spam.segments(line)
+        assert time.time() - began < 20
