@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 #: Characters handed to the tokenizer at once; a single longer text goes alone.
 CALL_CHARS = 2_000_000
-#: Texts of this many characters or more are dealt over all tasks instead of staying with their file split.
-LONG_TEXT = 20_000
 
 
 def _tokenizer(folder: str, name: str):
@@ -66,23 +64,24 @@ def _encode(folder: str, name: str, spans: bool, lengths: bool):
     return run
 
 
-def _spread(df: DataFrame, key: str, text: str) -> DataFrame:
+def _named(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The two columns under names of their own, so that no other column can clash."""
     return df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """`key`, `ids` array<int>: one row per input row; empty and null texts give an empty list. Special tokens' strings are ordinary text."""
-    return _spread(df, key, text).mapInArrow(_encode(folder, name, False, False), f"key {df.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
+    return _named(df, key, text).mapInArrow(_encode(folder, name, False, False), f"key {df.schema[key].dataType.simpleString()}, ids array<int>").withColumnRenamed("key", key)
 
 
 def encode_spans(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """As encode, with `starts` and `ends`: each token's characters in the text. Tokens that share one split character all span it."""
-    return _spread(df, key, text).mapInArrow(_encode(folder, name, True, False), f"key {df.schema[key].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("key", key)
+    return _named(df, key, text).mapInArrow(_encode(folder, name, True, False), f"key {df.schema[key].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("key", key)
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """`key`, `tokens` int."""
-    return _spread(df, key, text).mapInArrow(_encode(folder, name, False, True), f"key {df.schema[key].dataType.simpleString()}, tokens int").withColumnRenamed("key", key)
+    return _named(df, key, text).mapInArrow(_encode(folder, name, False, True), f"key {df.schema[key].dataType.simpleString()}, tokens int").withColumnRenamed("key", key)
 
 
 def byte_letters() -> dict[str, int]:
