@@ -12,9 +12,10 @@ from melisma.tables import materialise
 
 #: Tokens a block holds about; a source's quota is dealt in whole blocks.
 BLOCK_TOKENS = 16_384
-#: Blocks an output shard holds about, and shards the driver plans one by one.
-SHARD_BLOCKS = 64
-BUCKETS = 2048
+#: Blocks an output shard holds about; the driver plans at most MOST_SHARDS, which hold more blocks beyond that.
+SHARD_BLOCKS, MOST_SHARDS = 64, 65_536
+#: Tokens of a source that are put in order together, about.
+BUCKET_TOKENS = 1 << 24
 
 
 def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
@@ -69,7 +70,8 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, size: int | Non
         return sized.select("doc_id", "source", F.lit(0).alias("use"), "tokens", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("position")).limit(0)
     names = sorted(quota)
     blocks = [max(1, -(-quota[s] // BLOCK_TOKENS)) for s in names]
-    shards = max(1, sum(blocks) // SHARD_BLOCKS)
+    shards = max(1, min(sum(blocks) // SHARD_BLOCKS, MOST_SHARDS))
+    buckets = max(64, -(-sum(totals.values()) // BUCKET_TOKENS))
     table = split_quotas(blocks, shards, seed)
     # the blocks of a source go to shards as consecutive ranges of its permutation
     ranges = []
@@ -80,7 +82,7 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, size: int | Non
                 ranges.append((s, at, at + row[k], i))
                 at += row[k]
     uses = spark.createDataFrame([(s, u, totals[s] * u, quota[s], blocks[k]) for k, s in enumerate(names) for u in range(-(-quota[s] // totals[s]))], "source string, use int, base long, quota long, blocks int")
-    drawn = sized.join(F.broadcast(uses), "source").withColumn("h", F.xxhash64("doc_id", "use", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    drawn = sized.join(F.broadcast(uses), "source").withColumn("h", F.xxhash64("doc_id", "use", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     before = drawn.groupBy("source", "use", "bucket").agg(F.sum("tokens").alias("n"))
     before = before.select("source", "use", "bucket", (F.sum("n").over(W.partitionBy("source", "use").orderBy("bucket")) - F.col("n")).alias("before"))
     inside = F.sum("tokens").over(W.partitionBy("source", "use", "bucket").orderBy("h", "doc_id")) - F.col("tokens") / 2

@@ -16,8 +16,8 @@ from melisma.tables import materialise
 
 #: Greatest edit distance of two keys of at least LONG letters; shorter keys get 1.
 EDITS, LONG = 2, 8
-#: An index trie holds at most about this many keys; a larger shard is split into several tries.
-TRIE_KEYS = 20_000
+#: An index trie holds at most about this many keys, and sees at most about this many probes; a larger shard is split both ways.
+TRIE_KEYS, TRIE_PROBES = 20_000, 100_000
 
 # Words that name a kind of ensemble and the short forms people type for them.
 ENSEMBLE = {
@@ -347,11 +347,14 @@ def trie_join(index: DataFrame, probes: DataFrame, same: bool = False) -> DataFr
     both = index.select("id", "space", "key", F.lit("index").alias("role")).unionByName(probes.select("id", "space", "key", F.lit("probe").alias("role")))
     rows = both.mapInPandas(_shards, "shard string, id long, key string, probe int")
     size = rows.groupBy("shard").agg(F.sum(1 - F.col("probe")).alias("keys"), F.sum("probe").alias("probes")).where(f"keys > 0 AND probes > 0 AND keys + probes > {2 if same else 1}")
-    # a shard with more keys than a trie should hold becomes several tries, each of which sees all its probes
-    tries = F.greatest(F.lit(1), F.ceil(F.col("keys") / TRIE_KEYS)).cast("int")
-    rows = rows.join(size.select("shard", tries.alias("tries")), "shard")
-    salt = F.when(F.col("probe") == 0, F.array(F.pmod(F.hash("id"), F.col("tries")))).otherwise(F.sequence(F.lit(0), F.col("tries") - 1))
-    rows = rows.select(F.explode(salt).alias("salt"), "shard", "id", "key", "probe").withColumn("shard", F.concat_ws("\t", "shard", F.col("salt").cast("string"))).drop("salt")
+    # a hot shard becomes a grid: each slice of its keys is a trie for every slice of its probes
+    slices = [F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int").alias(name) for c, most, name in (("keys", TRIE_KEYS, "tries"), ("probes", TRIE_PROBES, "lanes"))]
+    rows = rows.join(size.select("shard", *slices), "shard")
+    own = lambda c: F.pmod(F.xxhash64("id", "key"), F.col(c)).cast("int")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    index = F.col("probe") == 0
+    cell = F.when(index, F.transform(every("lanes"), lambda x: F.struct(own("tries").alias("t"), x.alias("l")))).otherwise(F.transform(every("tries"), lambda x: F.struct(x.alias("t"), own("lanes").alias("l"))))
+    rows = rows.select(F.explode(cell).alias("cell"), "shard", "id", "key", "probe").select(F.concat_ws("\t", "shard", F.col("cell.t").cast("string"), F.col("cell.l").cast("string")).alias("shard"), "id", "key", "probe")
     return rows.repartition("shard").sortWithinPartitions("shard", "probe").mapInPandas(_match, "a long, b long").distinct()
 
 
