@@ -75,3 +75,17 @@ def preview(tokens: Column, shown: int = 24) -> Column:
 def sanitize_tag(c: Column) -> Column:
     """Letters, digits, dots, underscores and dashes only, without such signs at the ends; nothing left gives null."""
     return F.nullif(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "-"), r"^[-._]+|[-._]+$", ""), F.lit(""))
+
+
+def tempo_of(token: Column, low: int = 40, high: int = 220) -> Column:
+    """Beats a minute of a tempo token; another token, a non-number or a value outside the range fails the query, null stays null."""
+    value = prefixed_int(token, "TEMPO_")
+    wrong = F.raise_error(F.concat(F.lit("not a tempo token: "), token)).cast("double")
+    return F.when(token.isNull(), None).when(F.coalesce(value.between(low, high), F.lit(False)), value.cast("double")).otherwise(wrong)
+
+
+def instrument_of(token: Column) -> Column:
+    """Name of an instrument token, in upper case; another or an empty one fails the query, null stays null."""
+    name = F.upper(F.trim(F.substring(token, 6, 100)))
+    wrong = F.raise_error(F.concat(F.lit("not an instrument token: "), token)).cast("string")
+    return F.when(token.isNull(), None).when(token.startswith("INST_") & (name != ""), name).otherwise(wrong)

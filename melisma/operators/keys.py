@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,9 +69,28 @@ def pitch_class_histogram(overlaps: DataFrame, spans: DataFrame, key: str = "fil
     return spans.join(sums, [key, "frame"], "left").select(key, "frame", "start", "end", F.array(*[F.coalesce(f"_{i}", F.lit(0)) / 10.0 for i in range(12)]).alias("hist"))
 
 
-def key_scores(hist: Column) -> Column:
-    """24 correlations, in the order of KEYS."""
-    return F.array(*[N.pearson(hist, PROFILES[k]) for k in KEYS])
+def _centred(profile: list[float]) -> tuple[list[float], float]:
+    mean = sum(profile) / len(profile)
+    rest = [x - mean for x in profile]
+    square = 0.0
+    for x in rest:
+        square += x * x
+    return rest, math.sqrt(square)
+
+
+def with_key_scores(rows: DataFrame, name: str = "scores") -> DataFrame:
+    """Adds the 24 correlations of `hist` with the keys' profiles, in the order of KEYS; no variance gives 0.
+
+    Two passes in index order, as functions.numeric.pearson, but the histogram is centred once and the profiles are one
+    literal, so that the plan stays small.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    parts = [_centred(PROFILES[k]) for k in KEYS]
+    profiles = F.array(*[F.struct(F.array(*[F.lit(x) for x in rest]).alias("r"), F.lit(norm).alias("norm")) for rest, norm in parts])
+    r = rows.withColumn("_m", total("hist") / 12.0).withColumn("_c", F.transform("hist", lambda x: x - F.col("_m")))
+    r = r.withColumn("_v", F.sqrt(total(F.transform("_c", lambda x: x * x))))
+    score = F.transform(profiles, lambda p: F.when(F.col("_v") * p["norm"] > 0, total(F.zip_with("_c", p["r"], lambda x, y: x * y)) / (F.col("_v") * p["norm"])).otherwise(0.0))
+    return r.withColumn(name, score).drop("_m", "_c", "_v")
 
 
 def ranked_keys(scores: Column) -> Column:
@@ -81,7 +101,7 @@ def ranked_keys(scores: Column) -> Column:
 
 def raw_frames(hists: DataFrame, key: str = "file_id") -> DataFrame:
     """Adds `scores`, `raw_key`, `best`, `margin`, `uncertain` to frame histograms."""
-    h = hists.withColumn("scores", key_scores(F.col("hist"))).withColumn("_r", ranked_keys(F.col("scores")))
+    h = with_key_scores(hists).withColumn("_r", ranked_keys(F.col("scores")))
     best, second = F.col("_r")[0], F.col("_r")[1]
     weight = F.aggregate("hist", F.lit(0.0), lambda a, x: a + x)
     h = h.withColumn("raw_key", best["key"]).withColumn("best", best["score"]).withColumn("margin", F.greatest(F.lit(0.0), best["score"] - second["score"]))
@@ -173,7 +193,8 @@ def timeline(events: DataFrame, bars: DataFrame, key: str = "file_id") -> tuple[
     spans = frames(totals, key)
     raw = neighbourhood_support(raw_frames(pitch_class_histogram(frame_overlaps(events, spans, key), spans, key), key), key)
     whole = totals.select(key, F.lit(0).alias("frame"), F.lit(0).cast("long").alias("start"), F.greatest(F.lit(1), "total").alias("end"))
-    overall = pitch_class_histogram(events.select(key, F.lit(0).alias("frame"), "pitch", "pos", F.greatest(F.lit(1), "dur").alias("overlap")), whole, key).select(key, key_scores(F.col("hist")).alias("bias"))
+    overall = pitch_class_histogram(events.select(key, F.lit(0).alias("frame"), "pitch", "pos", F.greatest(F.lit(1), "dur").alias("overlap")), whole, key)
+    overall = with_key_scores(overall, "bias").select(key, "bias")
     return raw, key_segments(raw, totals, overall, key)
 
 

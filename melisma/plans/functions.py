@@ -211,6 +211,13 @@ def f34_token_number(spark: SparkSession, d: str) -> DataFrame:
     return bars.select("token", X.prefixed_int(F.col("token"), "TEMPO_").alias("bpm"), X.prefixed_int(F.col("token"), "KEY_").alias("other"), "bars")
 
 
+@query("SELECT tempo_token AS token, try_cast(substr(tempo_token, 7) AS int)::double AS bpm, 'PIANO' AS instrument, count(*) AS phrases FROM phrase_spans WHERE tempo_token IS NOT NULL GROUP BY tempo_token")
+def f36_token_values(spark: SparkSession, d: str) -> DataFrame:
+    """Values of tempo and instrument tokens; a token out of range would fail the query."""
+    t = table(spark, d, "phrase_spans").where("tempo_token IS NOT NULL").groupBy(F.col("tempo_token").alias("token")).agg(F.count("*").alias("phrases"))
+    return t.select("token", X.tempo_of(F.col("token")).alias("bpm"), X.instrument_of(F.lit("INST_piano")).alias("instrument"), "phrases")
+
+
 _NAMES = "(SELECT unnest(['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B']) AS root)"
 
 
