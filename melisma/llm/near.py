@@ -36,6 +36,8 @@ TOLERATED = 1e-4
 BINS, COARSE = 128, 16
 #: Records compared with each other at once, and their notes; a task holds two such blocks.
 BLOCK, BLOCK_NOTES = 16384, 8_000_000
+#: Roles of records between which links are looked for.
+TRAIN, HELD = 1, 2
 #: Pairs whose offsets are looked through together.
 PAIRS = 512
 #: Occurrences of a pitch whose hashes are kept in a table.
@@ -266,19 +268,30 @@ def _join_block(key: tuple, group: pa.Table) -> pa.Table:
             pairs.extend((ids[a], ids[b]) for a, b in zip(lo[s : s + PAIRS][left].tolist(), hi[s : s + PAIRS][left].tolist()) if is_case(rows.onset[a], rows.pitch[a], rows.onset[b], rows.pitch[b]))
 
     found, held = [], 0
-    for i, js in alike(n, mins, counts, x, y):
-        found.append((i, js))
-        held += len(js)
-        if held >= PAIRS:
-            settle(found)
-            found, held = [], 0
+    role = group.column("role").to_numpy()
+    if (role == 0).all():
+        sets = [(x, y)]
+    else:
+        one, two = TRAIN, HELD
+        sets = [(x[role[x] & a > 0], y[role[y] & b > 0]) for a, b in ((one, two), (two, one))[: 1 if x is y else 2]]
+    for left, right in sets:
+        for i, js in alike(n, mins, counts, left, right):
+            js = js[js != i]
+            found.append((i, js))
+            held += len(js)
+            if held >= PAIRS:
+                settle(found)
+                found, held = [], 0
     settle(found)
+    pairs = list(dict.fromkeys(pairs))
     return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
 
 def verified_links(signed: DataFrame) -> DataFrame:
     """Signed records -> `a` < `b`: every two records whose notes satisfy the definition.
 
+    With a column `role` (bits TRAIN and HELD), only pairs of one record of each role are looked for.
+
     Records are cut in blocks by their number of notes, and each block is compared with those whose numbers are near enough,
     so no pair is left to the chance of sharing a band. The comparisons grow with the square of the records; all but a few
     in a thousand end in the first two sieves, at some ten nanoseconds.
@@ -289,7 +302,8 @@ def verified_links(signed: DataFrame) -> DataFrame:
     meets = [(x, y) for x in range(len(parts)) for y in range(x, len(parts)) if parts[x][1] >= _least(parts[y][0])]
     places = [(*parts[v], x, y, side) for x, y in meets for side, v in enumerate((x, y)) if side == 0 or x != y]
     where = spark.createDataFrame(places, "lo int, hi int, part int, parts int, x int, y int, side int")
-    cols = ["file_id", "n", "steps", "pitch", "mins"]
+    cols = ["file_id", "n", "steps", "pitch", "mins", "role"]
+    signed = signed if "role" in signed.columns else signed.withColumn("role", F.lit(0))
     placed = signed.select(*cols).join(F.broadcast(where), F.expr("n BETWEEN lo AND hi AND part = pmod(xxhash64(file_id), parts)"))
     tasks = max(1, len(meets))
     return placed.select("x", "y", "side", *cols).repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(_join_block, "a long, b long")
@@ -393,16 +407,21 @@ def is_case(on_a: np.ndarray, p_a: np.ndarray, on_b: np.ndarray, p_b: np.ndarray
     return big > 0 and min(len(p_a), len(p_b)) >= SHARE * big and matched_notes(on_a, p_a, on_b, p_b) >= SHARE * big
 
 
-def music_links(records: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def music_links(records: DataFrame, notes: DataFrame, roles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, links).
 
     members: `file_id`, `rep` - the smallest file_id with exactly the same notes. links: every verified `a` < `b` between
-    such representatives.
+    such representatives; with `roles` (`file_id`, `role`) only those between a group that has a TRAIN and one that has a
+    HELD record.
     """
     signed = materialise(signed_records(records, notes), "signed")
     least = signed.groupBy("exact", "n").agg(F.min("file_id").alias("rep"))
     members = materialise(signed.select("file_id", "exact", "n").join(least, ["exact", "n"]).select("file_id", "rep"), "members")
-    reps = signed.join(members.where("file_id = rep").select("file_id"), "file_id", "left_semi")
+    if roles is None:
+        reps = signed.join(members.where("file_id = rep").select("file_id"), "file_id", "left_semi")
+    else:
+        own = members.join(roles, "file_id").groupBy(F.col("rep").alias("file_id")).agg(F.bit_or("role").alias("role"))
+        reps = signed.join(own, "file_id")
     return members, materialise(verified_links(reps), "links")
 
 

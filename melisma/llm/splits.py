@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from melisma.llm.names import name_classes
-from melisma.llm.near import music_links
+from melisma.llm.near import HELD, TRAIN, music_links
 from melisma.operators.graph import components
 from melisma.tables import current_rows, materialise
 
@@ -50,7 +50,8 @@ def overlap_pairs(records: DataFrame, notes: DataFrame) -> DataFrame:
     """
     cur = materialise(current_records(records), "current")
     side = cur.where("split IN ('train', 'valid', 'test', 'eval')").select("file_id", F.expr("split = 'train'").alias("train"))
-    members, rep_pairs = music_links(records, notes)
+    roles = side.select("file_id", F.when(F.col("train"), TRAIN).otherwise(HELD).alias("role"))
+    members, rep_pairs = music_links(records, notes, roles)
     placed = materialise(members.join(side, "file_id").select("rep", "file_id", "train"), "placed")
     train = placed.where("train").select("rep", F.col("file_id").alias("t"))
     held = placed.where("NOT train").select("rep", F.col("file_id").alias("h"))
