@@ -171,12 +171,13 @@ def g1_grammar(spark: SparkSession, d: str) -> DataFrame:
     return s.select("file_id", "code", G.first_fault(F.col("code")).alias("fault"), G.prefix_valid(F.col("code")).alias("valid"))
 
 
-_REASON = f"""WITH {_FAULT} SELECT f.file_id, CASE WHEN fault IS NOT NULL THEN CASE WHEN c.sign = '?' AND c.token NOT LIKE 'FIM%' THEN 'unknown_token' ELSE
+_REASON_BODY = """SELECT f.file_id, CASE WHEN fault IS NOT NULL THEN CASE WHEN c.sign = '?' AND c.token NOT LIKE 'FIM%' THEN 'unknown_token' ELSE
 CASE WHEN fault = 0 THEN 'expected_bos' WHEN instr(code, 'R') = 0 OR fault < instr(code, 'R') THEN CASE code[fault] WHEN 'B' THEN 'expected_tempo_key_bar_or_eos' WHEN 'T' THEN 'expected_key_bar_or_eos' WHEN 'K' THEN 'expected_bar_or_eos' ELSE 'unexpected_token_after_eos' END
 ELSE CASE code[fault] WHEN 'R' THEN 'expected_tempo_key_pos_bar_or_eos' WHEN 'T' THEN 'expected_key_pos_bar_or_eos' WHEN 'K' THEN 'expected_pos_bar_or_eos' WHEN 'P' THEN 'expected_inst' WHEN 'I' THEN 'expected_pitch' WHEN 'C' THEN 'expected_dur'
 WHEN 'D' THEN 'expected_vel' WHEN 'V' THEN 'expected_pos_bar_or_eos' ELSE 'unexpected_token_after_eos' END END END || '@' || fault || ':' || c.token
 WHEN code[-1] = 'E' THEN 'ok' ELSE CASE code[-1] WHEN 'P' THEN 'incomplete_note_tuple_expected_inst' WHEN 'I' THEN 'incomplete_note_tuple_expected_pitch' WHEN 'C' THEN 'incomplete_note_tuple_expected_dur' WHEN 'D' THEN 'incomplete_note_tuple_expected_vel' ELSE 'missing_eos' END END AS reason
 FROM f LEFT JOIN code c ON c.file_id = f.file_id AND c.idx = f.fault"""
+_REASON = f"WITH {_FAULT} {_REASON_BODY}"
 
 
 def reasons(sequences: DataFrame, key: str = "file_id") -> DataFrame:

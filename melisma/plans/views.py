@@ -123,7 +123,7 @@ _VIEWS["btok"] = (
     WHEN 6 THEN ['FIM_HOLE'] || tokens WHEN 7 THEN tokens[1:2] || ['KEY_C_MAJ', 'TEMPO_80'] || tokens[3:] ELSE tokens END AS tokens FROM tok""",
 )
 _VIEWS["row"] = (("btok",), "SELECT file_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS idx FROM btok")
-_LETTER = """CASE WHEN token = 'BOS' THEN 'B' WHEN token = 'EOS' THEN 'E' WHEN token = 'BAR' THEN 'R' WHEN token IN (SELECT token FROM vocab) THEN
+LETTER = """CASE WHEN token = 'BOS' THEN 'B' WHEN token = 'EOS' THEN 'E' WHEN token = 'BAR' THEN 'R' WHEN token IN (SELECT token FROM vocab) THEN
 CASE split_part(token, '_', 1) WHEN 'TEMPO' THEN 'T' WHEN 'KEY' THEN 'K' WHEN 'POS' THEN 'P' WHEN 'INST' THEN 'I' WHEN 'PITCH' THEN 'C' WHEN 'DUR' THEN 'D' WHEN 'VEL' THEN 'V' ELSE '?' END ELSE '?' END"""
 _ROOTS = "['C', 'C_SHARP', 'D', 'D_SHARP', 'E', 'F', 'F_SHARP', 'G', 'G_SHARP', 'A', 'A_SHARP', 'B']"
 _VIEWS["vocab"] = (
@@ -133,7 +133,7 @@ _VIEWS["vocab"] = (
     UNION ALL SELECT 4, b, 'DUR_' || b FROM (SELECT unnest([1,2,3,4,6,8,12,16,24,32]) AS b) UNION ALL SELECT 5, range, 'VEL_' || range FROM range(16) UNION ALL SELECT 6, range, 'TEMPO_' || range FROM range(40, 221, 2)
     UNION ALL SELECT 7, range, 'KEY_' || {_ROOTS}[range + 1] || '_MAJ' FROM range(12) UNION ALL SELECT 8, range, 'KEY_' || {_ROOTS}[range + 1] || '_MIN' FROM range(12) UNION ALL SELECT 9, 0, 'KEY_UNCERTAIN')""",
 )
-_VIEWS["code"] = (("row", "vocab"), f"SELECT file_id, idx, token, {_LETTER} AS sign FROM row")
+_VIEWS["code"] = (("row", "vocab"), f"SELECT file_id, idx, token, {LETTER} AS sign FROM row")
 
 
 def streams(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,8 @@ from melisma.operators.phrases import picked, window_candidates
 from melisma.plans.records import bucketed
 from melisma.plans.registry import query
 from melisma.plans.structure import rounded, stored_phrases
-from melisma.plans.views import faulty_streams, streams, twin
+from melisma.plans.tokens import _FAULT, _REASON_BODY
+from melisma.plans.views import LETTER, faulty_streams, streams, twin
 from melisma.tables import table
 
 _UNITS = """l AS (SELECT file_id, idx, token, lead(token, 1) OVER w AS t1, lead(token, 2) OVER w AS t2, lead(token, 3) OVER w AS t3, lead(token, 4) OVER w AS t4 FROM row r WINDOW w AS (PARTITION BY file_id ORDER BY idx)),
@@ -172,7 +173,13 @@ _DEC = """dec AS (SELECT file_id, file_id % 5 AS checkpoint, tokens[1:12] AS pro
 drow AS (SELECT file_id, unnest(f) AS token, generate_subscripts(f, 1) - 1 AS idx FROM (SELECT file_id, prompt || generated || ['EOS'] AS f FROM dec))"""
 
 
-@query()
+# the whole records, EOS appended, as the views that the grammar's twins read
+_TRACE = f"""{_DEC.replace("drow AS", "row AS")}, code AS (SELECT file_id, idx, token, {LETTER} AS sign FROM row r), {_FAULT}, rs AS ({_REASON_BODY}),
+tr AS (SELECT dec.*, reason, reason = 'ok' AS ok FROM dec JOIN rs USING (file_id))"""
+
+
+@query(twin(f"""WITH {_TRACE} SELECT file_id, checkpoint, reached_eos, reached_eos AND ok AS is_valid, ok AS append_eos_valid, CASE WHEN reached_eos AND ok THEN 'ok' WHEN reached_eos THEN 'syntax_invalid' WHEN ok THEN 'missing_eos_only' ELSE 'missing_eos_plus_syntax' END AS failure_reason,
+CASE WHEN NOT reached_eos AND ok THEN 'missing_eos' ELSE reason END AS syntax_reason, coalesce(generated[1] = target[1], false) AS first_token_match FROM tr""", "tok", "vocab"))
 def g21_traces(spark: SparkSession, d: str) -> DataFrame:
     t = D.continuation_traces(decoded(spark, d))
     return t.select("file_id", "checkpoint", "reached_eos", "is_valid", "append_eos_valid", "failure_reason", "syntax_reason", "first_token_match")
@@ -201,13 +208,20 @@ def g20_enriched_infilling(spark: SparkSession, d: str) -> DataFrame:
     return rounded(e, *[f.name for f in e.schema if f.dataType.simpleString() == "double"]).drop("prefix", "middle", "suffix", "target", "reconstructed")
 
 
+@query(twin(f"""WITH {_TRACE} SELECT checkpoint, count(*) AS records, round(avg((reached_eos AND ok)::int), 6) AS stop_success_rate, round(avg(ok::int), 6) AS structural_rate, round(avg((NOT reached_eos)::int), 6) AS missing_eos_rate, round(avg((NOT reached_eos AND ok)::int), 6) AS append_eos_recoverable_rate, round(avg((NOT ok)::int), 6) AS syntax_invalid_rate FROM tr GROUP BY checkpoint""", "tok", "vocab"))
+def g22_checkpoint_rates(spark: SparkSession, d: str) -> DataFrame:
+    a = D.checkpoint_metrics(enriched(spark, d), ["checkpoint"])
+    cols = ("stop_success_rate", "structural_rate", "missing_eos_rate", "append_eos_recoverable_rate", "syntax_invalid_rate")
+    return rounded(a.select("checkpoint", "records", *cols), *cols)
+
+
 @query()
 def g22_checkpoint_agg(spark: SparkSession, d: str) -> DataFrame:
     a = D.checkpoint_metrics(enriched(spark, d), ["checkpoint"])
     return rounded(a, *[f.name for f in a.schema if f.dataType.simpleString() == "double"])
 
 
-@query()
+@query(twin(f"""WITH {_TRACE} SELECT * FROM (SELECT checkpoint, reason, count(*) AS count, row_number() OVER (PARTITION BY checkpoint ORDER BY count(*) DESC, reason)::int AS place FROM (SELECT checkpoint, regexp_replace(CASE WHEN NOT reached_eos AND ok THEN 'missing_eos' ELSE reason END, '@.*', '') AS reason FROM tr) GROUP BY checkpoint, reason) WHERE place <= 5""", "tok", "vocab"))
 def g23_reason_counts(spark: SparkSession, d: str) -> DataFrame:
     return D.top_counts(D.continuation_traces(decoded(spark, d)).withColumn("reason", F.regexp_replace("syntax_reason", "@.*", "")), ["checkpoint"], "reason", 5)
 
