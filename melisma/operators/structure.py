@@ -177,3 +177,10 @@ def boundary_violations(prefix: DataFrame, middle: DataFrame, suffix: DataFrame,
     all_ = edges(prefix, "p").join(edges(middle, "m"), key, "full").join(edges(suffix, "s"), key, "full")
     back = lambda a, b: F.coalesce(F.col(b) < F.col(a), F.lit(False))
     return all_.select(key, back("p_last", "m_first").alias("into_middle"), back("m_last", "s_first").alias("out_of_middle"))
+
+
+def blocked_onsets(events: DataFrame, key: str = "file_id") -> DataFrame:
+    """`key`, `event_idx`, `pitch`, `free_at`: notes a guard against overlaps would hold back, and the unit from which their pitch is free."""
+    w = W.partitionBy(key, "pitch").orderBy("event_idx").rowsBetween(W.unboundedPreceding, -1)
+    free = F.max(F.col("unit") + F.greatest(F.lit(1), "dur")).over(w)
+    return events.select(key, "event_idx", "pitch", "unit", free.alias("free_at")).where("unit < free_at").drop("unit")

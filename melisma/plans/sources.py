@@ -94,3 +94,30 @@ def st_running_best(spark: SparkSession, d: str) -> DataFrame:
     s = stream.file_stream(spark, d, kind, "events.parquet")
     out = stream.drained(stream.running_mean(s, "user_id", "event_id", "value"), f"m_{uuid.uuid4().hex[:12]}", "append")
     return out.select("user_id", "event_id", "best")
+
+
+@query(twin("SELECT tok.file_id % 8 AS part, count(*) AS sequences, sum(len(tokens))::bigint AS tokens FROM tok GROUP BY part", "tok"))
+def s7_packed_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of all sequences written as flat binaries of eight parts and read back by offset and length (K3, S7)."""
+    from melisma.operators.tokens import encoded
+
+    folder = f"{shared_dir(spark).removeprefix('file://')}/packed-{uuid.uuid4().hex}"
+    coded = encoded(streams(spark, d), vocabulary(spark))
+    out = None
+    for part in range(8):  # one binary a part, each of which is one file
+        if not files.write_packed(coded.where(F.col("file_id") % 8 == part), folder, f"p{part}", "file_id")["num_sequences"]:
+            continue
+        back = files.read_packed(spark, folder, f"p{part}").agg(F.lit(part).cast("long").alias("part"), F.count("*").alias("sequences"), F.sum(F.size("ids")).alias("tokens"))
+        out = back if out is None else out.unionByName(back)
+    return out if out is not None else spark.createDataFrame([], "part long, sequences long, tokens long")
+
+
+@query(twin("SELECT checkpoint, CASE WHEN step % 2 = 0 THEN 'continuation' ELSE 'infilling' END AS task, step FROM ckpt", "ckpt"))
+def k12_sample_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Sample rows written in folders by checkpoint and task, and read back."""
+    from melisma.plans.views import checkpoints
+
+    path = f"{shared_dir(spark)}/samples-{uuid.uuid4().hex}"
+    task = F.when(F.col("step") % 2 == 0, "continuation").otherwise("infilling")
+    files.write_samples(checkpoints(spark, d).select("checkpoint", task.alias("task"), "step"), path)
+    return spark.read.json(path, schema="checkpoint string, task string, step long")

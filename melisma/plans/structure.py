@@ -382,3 +382,8 @@ def x6_window_candidates(spark: SparkSession, d: str) -> DataFrame:
 def x6_picked_window(spark: SparkSession, d: str) -> DataFrame:
     c = P.window_candidates(stored_phrases(spark, d), "single_phrase", 2, 4, "seq_id").distinct()
     return P.picked(c, ["seq_id"], ["first", "last"], 7)
+
+
+@query(twin("SELECT file_id, event_idx, pitch, free_at FROM (SELECT *, max(unit + greatest(1, dur)) OVER (PARTITION BY file_id, pitch ORDER BY event_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS free_at FROM ev) WHERE unit < free_at", "ev"))
+def d2_blocked_onsets(spark: SparkSession, d: str) -> DataFrame:
+    return O.blocked_onsets(events(spark, d))
