@@ -166,8 +166,11 @@ def counted_notes(notes: DataFrame) -> DataFrame:
 
 
 def signed_records(records: DataFrame, notes: DataFrame) -> DataFrame:
-    """One row per current record with notes: file_id, n, exact (hash of its notes), steps (onsets, each since the one before, from the first note on), pitch, mins (MinHash bytes)."""
-    tpb = current_rows(records.select("file_id", "ingested_at", "ticks_per_beat"), "file_id", "ingested_at").selectExpr("file_id", "cast(coalesce(ticks_per_beat, 480) as double) as tpb").where("tpb > 0")
+    """One row per current record with notes: file_id, n, exact (hash of its notes), steps (onsets, each since the one before, from the first note on), pitch, mins (MinHash bytes).
+
+    A null ticks_per_beat, or one that isn't positive, counts as 480. Notes whose file has no current record are left out.
+    """
+    tpb = current_rows(records.select("file_id", "ingested_at", "ticks_per_beat"), "file_id", "ingested_at").selectExpr("file_id", "cast(CASE WHEN ticks_per_beat > 0 THEN ticks_per_beat ELSE 480 END as double) as tpb")
     return counted_notes(notes).join(tpb, "file_id").repartition("file_id").sortWithinPartitions("file_id").mapInArrow(_sign, _SIGNED)
 
 
