@@ -200,3 +200,39 @@ def test_velocity_bins_of_all_values(spark):
 
     got = {r["id"]: r["b"] for r in spark.range(-2, 130).select("id", N.velocity_bin(F.col("id")).alias("b")).collect()}
     assert got == {v: plain(v) for v in got}
+
+
+def test_small_files(spark, tmp_path):
+    p = str(tmp_path / "deep" / "r.json")
+    files.write_report({"a": "ü"}, p)
+    assert files.read_object(p) == {"a": "ü"}
+    (tmp_path / "list.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        files.read_object(str(tmp_path / "list.json"))
+    log = str(tmp_path / "metrics.jsonl")
+    assert files.metrics_path(str(tmp_path)) is None
+    for step in (1, 2):
+        files.append_event(spark.createDataFrame([("train", step, 0.5)], "event string, step long, loss double"), log)
+    rows = files.read_log(spark, log).collect()
+    assert files.metrics_path(str(tmp_path)) and sorted(r["step"] for r in rows) == [1, 2] and sorted(r["line_no"] for r in rows) == [1, 2]
+    assert files.markdown_table(["a"], [["1"]]) == "| a |\n| --- |\n| 1 |\n" and "no data" in files.markdown_table(["a"], [])
+    files.clean(str(tmp_path / "deep"), "*.json")
+    files.clean(str(tmp_path / "fresh"))
+    assert not list((tmp_path / "deep").iterdir()) and (tmp_path / "fresh").is_dir()
+    assert files.read_jsonl(spark, str(tmp_path / "none"), "a int").count() == 0
+
+
+def test_top_p_takes_the_best_at_zero_temperature(spark):
+    rows = spark.createDataFrame([(1, [0.1, 2.0, 1.0]), (2, [])], "k int, x array<double>")
+    assert [r["next_id"] for r in decoding.top_p_sample(rows, "x", 0.0, 1.0, F.lit(0.5)).orderBy("k").collect()] == [1, None]
+    picks = {decoding.top_p_sample(rows.where("k = 1"), "x", 1.0, 0.6, F.lit(u)).first()["next_id"] for u in (0.0, 0.3, 0.99)}
+    assert picks == {1}
+
+
+def test_holes_keep_to_groups_and_ends(spark):
+    seq = "BOS TEMPO_120 BAR POS_0 INST_PIANO PITCH_60 DUR_4 VEL_8 TEMPO_90 BAR EOS".split()
+    rows = spark.createDataFrame([(1, seq)], "file_id long, tokens array<string>")
+    found = windows.hole_candidates(windows.units(rows), rows.select("file_id", F.size("tokens").alias("length")), F.lit(1), F.lit(96))
+    assert sorted((r["start"], r["end"]) for r in found.collect()) == [(2, 3), (2, 8), (3, 8), (9, 10)]
+    one = windows.fim_examples(rows, spark.createDataFrame([(1, 3, 8)], "file_id long, start int, end int")).first()
+    assert one["tokens"][-6] == "FIM_MID" and one["loss_from"] == len(one["tokens"]) - 5
