@@ -324,18 +324,33 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["shard", "id", "key", "probe"])
 
 
+def letters_mask(key: str) -> int:
+    """A bit for every letter that occurs; an edit changes two bits at most, a swap none."""
+    mask = 0
+    for c in key:
+        mask |= 1 << ord(c) % 61
+    return mask
+
+
 def _match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shard, index keys before probes: builds a shard's trie, runs its probes, forgets it."""
-    shard, trie = None, Trie()
+    """Rows sorted by shard, index keys before probes: builds a shard's trie, runs its probes, forgets it.
+
+    A probe whose letters differ too much from those of every key of a small shard is not run: the automaton couldn't accept.
+    """
+    shard, trie, masks = None, Trie(), []
     for batch in batches:
         out = set()
         for x, ident, key, probe in batch[["shard", "id", "key", "probe"]].itertuples(index=False):
             if x != shard:
-                shard, trie = x, Trie()
+                shard, trie, masks = x, Trie(), []
             if not probe:
                 trie.add(key, ident)
-            elif trie.root:
-                out.update((ident, other) for other in trie.near(key, _reach(len(key))) if other != ident)
+                masks.append(letters_mask(key))
+            elif masks:
+                k = _reach(len(key))
+                own = letters_mask(key)
+                if len(masks) > 64 or any((own ^ m).bit_count() <= 2 * k for m in masks):
+                    out.update((ident, other) for other in trie.near(key, k) if other != ident)
         yield pd.DataFrame(sorted(out), columns=["a", "b"])
 
 
