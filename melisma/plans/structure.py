@@ -371,14 +371,14 @@ _SINGLE = "SELECT seq_id, first, last FROM cp WHERE last - first BETWEEN 2 AND 4
 _CROSS = "SELECT seq_id, mark - l, mark + n - l FROM (SELECT seq_id, first, last AS mark, lead(last) OVER (PARTITION BY seq_id ORDER BY phrase) AS fin FROM cp), (SELECT a.n, b.l FROM (SELECT unnest([2, 3, 4]) AS n) a, (SELECT unnest([1, 2, 3]) AS l) b WHERE l < n) WHERE fin IS NOT NULL AND l <= mark - first AND n - l <= fin - mark"
 
 
-@query(f"WITH {_CURPH} SELECT 'single_phrase' AS kind, * FROM ({_SINGLE}) UNION ALL SELECT 'cross_boundary', * FROM ({_CROSS})")
+@query(f"WITH {_CURPH} SELECT kind, seq_id, first::int AS first, last::int AS last FROM (SELECT 'single_phrase' AS kind, * FROM ({_SINGLE}) UNION ALL SELECT 'cross_boundary', * FROM ({_CROSS}))")
 def x6_window_candidates(spark: SparkSession, d: str) -> DataFrame:
     p = stored_phrases(spark, d)
     kinds = [P.window_candidates(p, k, 2, 4, "seq_id").select(F.lit(k).alias("kind"), "seq_id", "first", "last") for k in ("single_phrase", "cross_boundary")]
     return kinds[0].unionByName(kinds[1])
 
 
-@query(f"WITH {_CURPH} SELECT seq_id, arg_min(first, h) AS first, arg_min(last, h) AS last FROM (SELECT seq_id, first, last, md5('7:' || seq_id || ':' || first || ':' || last) AS h FROM (SELECT DISTINCT * FROM ({_SINGLE}))) GROUP BY seq_id")
+@query(f"WITH {_CURPH} SELECT seq_id, arg_min(first, h)::int AS first, arg_min(last, h)::int AS last FROM (SELECT seq_id, first, last, md5('7:' || seq_id || ':' || first || ':' || last) AS h FROM (SELECT DISTINCT * FROM ({_SINGLE}))) GROUP BY seq_id")
 def x6_picked_window(spark: SparkSession, d: str) -> DataFrame:
     c = P.window_candidates(stored_phrases(spark, d), "single_phrase", 2, 4, "seq_id").distinct()
     return P.picked(c, ["seq_id"], ["first", "last"], 7)

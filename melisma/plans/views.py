@@ -93,7 +93,7 @@ def training_log(spark: SparkSession, d: str) -> DataFrame:
     view, value = F.col("event_type") == "view", F.col("value") / 100
     line = F.expr("row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)")
     return e.select(
-        F.col("user_id").alias("run"), line.alias("line_no"), F.when(view, "eval").otherwise("train").alias("event"),
+        F.col("user_id").alias("run"), line.cast("long").alias("line_no"), F.when(view, "eval").otherwise("train").alias("event"),
         F.when(~view, value).alias("loss"), F.when(view, value).alias("valid_loss"), F.when(F.col("event_type") == "signup", value).alias("logged_ema"),
     )
 
