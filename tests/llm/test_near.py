@@ -40,3 +40,19 @@ def test_pairs_are_found_among_many_records_of_one_motif(spark):
         records[900 + k] = [(o, p + 1 if o in hit else p) for o, p in records[k]]
     found = {tuple(r) for r in near.same_music_pairs(*tables(spark, records)).collect()}
     assert found == {(k, 900 + k) for k in range(30)}
+
+
+def test_blocks_are_written_once_however_many_they_meet(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near.size_blocks, "__defaults__", (8, near.BLOCK_NOTES))
+    monkeypatch.setattr(near, "shared_dir", lambda _: str(tmp_path))
+    rng = np.random.RandomState(5)
+    records = {}
+    for k in range(48):
+        records[2 * k], records[2 * k + 1] = scattered(rng)
+    signed = near.signed_records(*tables(spark, records))
+    found = {tuple(r) for r in near.verified_links(signed).collect()}
+    assert found == {(2 * k, 2 * k + 1) for k in range(48)}
+    (folder,) = tmp_path.glob("blocks-*")
+    assert len(list(folder.glob("block=*"))) > 8
+    assert spark.read.parquet(str(folder)).count() == 96
