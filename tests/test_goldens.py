@@ -236,3 +236,12 @@ def test_holes_keep_to_groups_and_ends(spark):
     assert sorted((r["start"], r["end"]) for r in found.collect()) == [(2, 3), (2, 8), (3, 8), (9, 10)]
     one = windows.fim_examples(rows, spark.createDataFrame([(1, 3, 8)], "file_id long, start int, end int")).first()
     assert one["tokens"][-6] == "FIM_MID" and one["loss_from"] == len(one["tokens"]) - 5
+
+
+def test_sequence_metrics_put_tables_side_by_side_without_a_join_each(spark):
+    rows = spark.createDataFrame([(1, "BOS BAR POS_0 INST_PIANO PITCH_60 DUR_4 VEL_8 BAR BAR EOS".split()), (2, ["EOS"])], "file_id long, tokens array<string>")
+    found = structure.sequence_metrics(rows)
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("Join ") <= 5
+    got = {r["file_id"]: r for r in found.collect()}
+    assert (got[1]["bar_count"], got[1]["event_count"], got[1]["empty_run"], got[1]["pitch_span"]) == (3, 1, 2, 0)
+    assert (got[2]["bar_count"], got[2]["empty_run"], got[2]["pitch_diversity"]) == (0, 0, None)
