@@ -241,7 +241,17 @@ def test_holes_keep_to_groups_and_ends(spark):
 def test_sequence_metrics_put_tables_side_by_side_without_a_join_each(spark):
     rows = spark.createDataFrame([(1, "BOS BAR POS_0 INST_PIANO PITCH_60 DUR_4 VEL_8 BAR BAR EOS".split()), (2, ["EOS"])], "file_id long, tokens array<string>")
     found = structure.sequence_metrics(rows)
-    assert str(found._jdf.queryExecution().optimizedPlan()).count("Join ") <= 5
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("Join ") <= 6
     got = {r["file_id"]: r for r in found.collect()}
     assert (got[1]["bar_count"], got[1]["event_count"], got[1]["empty_run"], got[1]["pitch_span"]) == (3, 1, 2, 0)
     assert (got[2]["bar_count"], got[2]["empty_run"], got[2]["pitch_diversity"]) == (0, 0, None)
+
+
+def test_messages_are_handed_on_in_bounded_batches():
+    import pyarrow as pa
+
+    data = midi.tokens_to_midi(["BOS", "TEMPO_120", "BAR", *("POS_0 INST_PIANO PITCH_60 DUR_4 VEL_8".split() * 2000), "EOS"], list(range(1, 17)))
+    batch = pa.RecordBatch.from_pydict({"path": [f"f{i}" for i in range(30)] + ["bad"], "content": [data] * 30 + [b"none"]})
+    out = list(midi.message_batches(iter([batch]), "path", "content", pa.string()))
+    assert max(b.num_rows for b in out) <= midi.ROWS and sum(b.num_rows for b in out) == 30 * 4004 + 1
+    assert out[-1].column("error")[-1].as_py() == "no header"
