@@ -255,3 +255,12 @@ def test_messages_are_handed_on_in_bounded_batches():
     out = list(midi.message_batches(iter([batch]), "path", "content", pa.string()))
     assert max(b.num_rows for b in out) <= midi.ROWS and sum(b.num_rows for b in out) == 30 * 4004 + 1
     assert out[-1].column("error")[-1].as_py() == "no header"
+
+
+def test_order_is_told_in_one_pass_as_by_the_first_fault(spark):
+    rng = random.Random(5)
+    codes = ["", "E", "BE", "BTKE", "BKTE", "BTTE", "BRE", "BRKTE", "BRTKPICDVE", "BRPICDVPICDVREE", "BR?E", "BRPICDE", "BRBE", "RE", "BP", "B", "BRPICDV"] + ["B" + "".join(rng.choices("RTKE", k=3)) + "E" for _ in range(40)] + ["".join(rng.choices("BRTKPICDVE?", k=4)) for _ in range(60)]
+    rows = spark.createDataFrame([(c,) for c in codes], "c string")
+    old = (F.length("c") > 0) & grammar.first_fault(F.col("c")).isNull() & F.col("c").endswith("E")
+    assert rows.where(~old.eqNullSafe(grammar.prefix_valid(F.col("c")))).count() == 0 and rows.where(grammar.prefix_valid(F.col("c"))).count() > 5
+    assert "rlike" in str(rows.select(grammar.prefix_valid(F.col("c")))._jdf.queryExecution().optimizedPlan()).lower()
