@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from melisma.tables import shared_dir
+
 ALPHA = 0.1
 
 
@@ -49,8 +51,18 @@ def running_mean(stream: DataFrame, by: str = "run", order: str = "line_no", val
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over all files there are and returns what it wrote."""
+    """Runs a stream over all files there are and returns what it wrote.
+
+    Appended rows are as many as the stream's and go to files in the shared folder; in the other modes the result is an
+    aggregate, which is kept in the driver's memory.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    out = stream.writeStream.outputMode(mode).trigger(availableNow=True)
+    if mode != "append":
+        out.format("memory").queryName(name).start().awaitTermination()
+        return spark.table(name)
+    path = f"{shared_dir(spark)}/{name}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)  # a stream without files writes nothing
+    out.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)

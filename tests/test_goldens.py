@@ -264,3 +264,14 @@ def test_order_is_told_in_one_pass_as_by_the_first_fault(spark):
     old = (F.length("c") > 0) & grammar.first_fault(F.col("c")).isNull() & F.col("c").endswith("E")
     assert rows.where(~old.eqNullSafe(grammar.prefix_valid(F.col("c")))).count() == 0 and rows.where(grammar.prefix_valid(F.col("c"))).count() > 5
     assert "rlike" in str(rows.select(grammar.prefix_valid(F.col("c")))._jdf.queryExecution().optimizedPlan()).lower()
+
+
+def test_appended_rows_of_a_stream_are_files(spark, tmp_path):
+    from melisma.streaming import events as stream
+
+    rows = spark.createDataFrame([(u, i, float((i * 7) % 5)) for u in range(3) for i in range(20)], "run long, line_no long, loss double")
+    rows.write.parquet(str(tmp_path / "in"))
+    for folder, n in (("in", 60), ("none", 0)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        out = stream.drained(stream.running_mean(stream.file_stream(spark, str(tmp_path / folder), rows.schema, "*.parquet")), f"t_{folder}", "append")
+        assert out.count() == n and bool(out.inputFiles()) == (n > 0)
