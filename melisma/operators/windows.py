@@ -46,20 +46,22 @@ def units(sequences: DataFrame, key: str = "file_id") -> DataFrame:
 def hole_candidates(parts: DataFrame, lengths: DataFrame, shortest: Column, longest: Column, key: str = "file_id") -> DataFrame:
     """`key`, `start`, `end`: runs of neighbouring units of one group, of `shortest` to `longest` tokens, that touch neither end of the sequence.
 
-    `lengths` gives `key` and `length`; the bounds are expressions over it. A unit is a token at least, so a start meets no
-    more ends than its longest span, and the join is on the unit's number.
+    `lengths` gives `key` and `length`; the bounds are expressions over it. The units of a group stand in one array, in which
+    each start looks ahead: a unit is a token at least, so it meets no more ends than its longest span. Candidates stay in
+    the task that holds their sequence.
     """
     b = lengths.select(key, "length", shortest.alias("lo"), longest.alias("hi"))
-    a = parts.join(b, key).where("start > 0").select(key, "group", F.col("unit").alias("u"), "start", "length", "lo", "hi")
-    a = a.select(key, "group", "start", "length", "lo", "hi", F.explode(F.sequence(F.col("u"), F.col("u") + F.greatest(F.lit(0), F.col("hi") - 1))).alias("unit"))
-    both = a.join(parts.select(key, "group", "unit", "end"), [key, "group", "unit"])
-    return both.where("end < length AND end - start BETWEEN lo AND hi").select(key, "start", "end")
+    runs = parts.groupBy(key, "group").agg(F.array_sort(F.collect_list(F.struct("unit", "start", "end"))).alias("_u")).join(b, key)
+    starts = runs.select(key, "length", "lo", "hi", F.transform("_u", lambda u: u["end"]).alias("_ends"), F.posexplode("_u").alias("_at", "_u")).where("_u.start > 0 AND hi > 0")
+    ends = starts.select(key, "length", "lo", "hi", F.col("_u.start").alias("start"), F.explode(F.slice("_ends", F.col("_at") + 1, F.col("hi"))).alias("end"))
+    return ends.where("end < length AND end - start BETWEEN lo AND hi").select(key, "start", "end")
 
 
 def near_best(candidates: DataFrame, gap: Column, slack: float, key: str = "file_id") -> DataFrame:
-    """Adds `gap` and keeps those at most `slack` above the smallest of their sequence."""
+    """Adds `gap` and keeps those at most `slack` above the smallest of their sequence. The candidates are read past a table of the smallest, never sorted."""
     rows = candidates.withColumn("gap", gap)
-    return rows.withColumn("_best", F.min("gap").over(W.partitionBy(key))).where(F.col("gap") <= F.col("_best") + slack).drop("_best")
+    best = rows.groupBy(key).agg(F.min("gap").alias("_best"))
+    return rows.join(best.hint("shuffle_hash"), key).where(F.col("gap") <= F.col("_best") + slack).drop("_best")
 
 
 def fim_examples(sequences: DataFrame, holes: DataFrame, key: str = "file_id", eos: bool = False) -> DataFrame:

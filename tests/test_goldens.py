@@ -257,15 +257,6 @@ def test_messages_are_handed_on_in_bounded_batches():
     assert out[-1].column("error")[-1].as_py() == "no header"
 
 
-def test_order_is_told_in_one_pass_as_by_the_first_fault(spark):
-    rng = random.Random(5)
-    codes = ["", "E", "BE", "BTKE", "BKTE", "BTTE", "BRE", "BRKTE", "BRTKPICDVE", "BRPICDVPICDVREE", "BR?E", "BRPICDE", "BRBE", "RE", "BP", "B", "BRPICDV"] + ["B" + "".join(rng.choices("RTKE", k=3)) + "E" for _ in range(40)] + ["".join(rng.choices("BRTKPICDVE?", k=4)) for _ in range(60)]
-    rows = spark.createDataFrame([(c,) for c in codes], "c string")
-    old = (F.length("c") > 0) & grammar.first_fault(F.col("c")).isNull() & F.col("c").endswith("E")
-    assert rows.where(~old.eqNullSafe(grammar.prefix_valid(F.col("c")))).count() == 0 and rows.where(grammar.prefix_valid(F.col("c"))).count() > 5
-    assert "rlike" in str(rows.select(grammar.prefix_valid(F.col("c")))._jdf.queryExecution().optimizedPlan()).lower()
-
-
 def test_appended_rows_of_a_stream_are_files(spark, tmp_path):
     from melisma.streaming import events as stream
 
@@ -275,3 +266,21 @@ def test_appended_rows_of_a_stream_are_files(spark, tmp_path):
         (tmp_path / folder).mkdir(exist_ok=True)
         out = stream.drained(stream.running_mean(stream.file_stream(spark, str(tmp_path / folder), rows.schema, "*.parquet")), f"t_{folder}", "append")
         assert out.count() == n and bool(out.inputFiles()) == (n > 0)
+
+
+def test_order_is_told_in_one_pass_as_by_the_first_fault(spark):
+    rng = random.Random(5)
+    codes = ["", "E", "BE", "BTKE", "BKTE", "BTTE", "BRE", "BRKTE", "BRTKPICDVE", "BRPICDVPICDVREE", "BR?E", "BRPICDE", "BRBE", "RE", "BP", "B", "BRPICDV"] + ["B" + "".join(rng.choices("RTKE", k=3)) + "E" for _ in range(40)] + ["".join(rng.choices("BRTKPICDVE?", k=4)) for _ in range(60)]
+    rows = spark.createDataFrame([(c,) for c in codes], "c string")
+    old = (F.length("c") > 0) & grammar.first_fault(F.col("c")).isNull() & F.col("c").endswith("E")
+    assert rows.where(~old.eqNullSafe(grammar.prefix_valid(F.col("c")))).count() == 0 and rows.where(grammar.prefix_valid(F.col("c"))).count() > 5
+    assert "rlike" in str(rows.select(grammar.prefix_valid(F.col("c")))._jdf.queryExecution().optimizedPlan()).lower()
+
+
+def test_hole_candidates_stay_with_their_sequence(spark):
+    rows = spark.createDataFrame([(k, ["BOS", *(["BAR"] * 12), "EOS"]) for k in range(9)], "file_id long, tokens array<string>")
+    found = windows.hole_candidates(windows.units(rows), rows.select("file_id", F.size("tokens").alias("length")), F.lit(2), F.lit(5))
+    near = windows.near_best(found, F.abs(F.col("end") - F.col("start") - 3), 0, "file_id")
+    assert found.where("file_id = 3").count() == 11 + 10 + 9 + 8 and near.count() == 9 * 10
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("ShuffledHashJoin")[0] and "end" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "group" in x)
