@@ -28,3 +28,35 @@ def test_orders_swaps_and_placeholders(spark):
 def test_numbers_and_parts_stay_apart(spark):
     found = linked(spark, [], ["The Silver Meadow No. 3", "Silver Meadow no 3", "The Silver Meadow No. 4", "Silver Meadow, Part II", "Untitled", "Track 04"])
     assert found == {("Silver Meadow no 3", "The Silver Meadow No. 3")}
+
+
+def test_shards_hold_every_pair_within_the_bound():
+    import pandas as pd
+
+    rng = random.Random(5)
+
+    def edited(s):
+        s = list(s)
+        for _ in range(2):
+            i, kind = rng.randrange(len(s) - 1), rng.randrange(4)
+            if kind == 0:
+                s.insert(i, rng.choice("abcdefgh"))
+            elif kind == 1:
+                del s[i]
+            elif kind == 2:
+                s[i] = rng.choice("abcdefgh")
+            else:
+                s[i], s[i + 1] = s[i + 1], s[i]
+        return "".join(s)
+
+    rows = []
+    for n in range(3000):
+        a = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(8, 16)))
+        b = edited(a)
+        if len(b) >= names.LONG and names.distance(a, b, 2) <= 2:
+            rows += [(n, "s", a, "index"), (n, "s", b, "probe")]
+    rows += [(-1, "s", "dezogeesk", "index"), (-1, "s", "deozgegesk", "probe")]
+    out = next(names._shards(iter([pd.DataFrame(rows, columns=["id", "space", "key", "role"])])))
+    met = out[out["probe"] == 0].merge(out[out["probe"] == 1], on=["shard", "id"])
+    assert set(met["id"]) == {r[0] for r in rows}
+    assert out["probe"].sum() <= 26 * len(rows) / 2  # shards a probe is looked up in

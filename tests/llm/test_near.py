@@ -56,3 +56,46 @@ def test_blocks_are_written_once_however_many_they_meet(spark, monkeypatch, tmp_
     (folder,) = tmp_path.glob("blocks-*")
     assert len(list(folder.glob("block=*"))) > 8
     assert spark.read.parquet(str(folder)).count() == 96
+
+
+def test_products_bound_what_records_have_in_common():
+    rng = np.random.RandomState(11)
+    for most, scale in ((384, 2), (60, 3), (40, 200), (30, 5)):
+        counts = rng.poisson(rng.gamma(0.7, scale, (80, 24))).astype(np.int32)
+        common = np.minimum(counts[:, None], counts[None]).sum(axis=2)
+        bound = near.product_columns(counts, most)
+        assert bound.shape[1] <= most and (bound @ bound.T >= common * (1 - 1e-5)).all()
+    exact = near.product_columns(counts % 4)
+    assert (exact @ exact.T == np.minimum(counts[:, None] % 4, counts[None] % 4).sum(axis=2)).all()
+
+
+def test_few_pairs_reach_the_minhash_values_in_records_of_any_length(monkeypatch):
+    rng = np.random.RandomState(2)
+    for notes in (60, 6000):
+        pitches = [rng.choice(128, notes, p=rng.dirichlet(np.full(128, 0.2))).astype(np.uint8).tobytes() for _ in range(300)]
+        counts, n, all_rows = near.pitch_counts(pitches), np.full(300, notes), np.arange(300)
+        looked = []
+        monkeypatch.setattr(near, "least_agreement", lambda: (0, 0))
+        mins = np.zeros((300, near.HASHES), np.uint8).view(Counted)
+        mins.looked = looked
+        pairs = {tuple(sorted(p)) for i, j in near.alike(n, mins, counts, all_rows, all_rows) for p in zip(i.tolist(), j.tolist())}
+        common = np.minimum(counts[:, None], counts[None]).sum(axis=2)
+        assert pairs == {(i, j) for i in range(300) for j in range(i + 1, 300) if common[i, j] >= near.SHARE * notes - 1e-6}
+        assert sum(looked) / 4 < 300 * 299 / 2 / 3  # two chunks of two sides each
+
+
+class Counted(np.ndarray):
+    def __getitem__(self, at):
+        if isinstance(at, tuple):
+            self.looked.append(np.size(at[0]))
+        return np.asarray(self)[at]
+
+
+def test_minhash_values_are_the_least_over_all_occurrences():
+    pitch = np.array([60] * 200 + [61] + [254] * 3, np.uint8)
+    record = np.array([0] * 150 + [1] * 54)
+    got = near.min_hashes(record, pitch, np.array([0, 150]))
+    for r in (0, 1):
+        own = pitch[record == r].astype(np.int64).tolist()
+        tokens = np.array([p + 256 * own[:i].count(p) for i, p in enumerate(own)], np.uint64)
+        assert got[r].tolist() == [int(near._hashed(tokens, k).min()) & 255 for k in range(near.HASHES)]
