@@ -60,3 +60,21 @@ def test_shards_hold_every_pair_within_the_bound():
     met = out[out["probe"] == 0].merge(out[out["probe"] == 1], on=["shard", "id"])
     assert set(met["id"]) == {r[0] for r in rows}
     assert out["probe"].sum() <= 26 * len(rows) / 2  # shards a probe is looked up in
+
+
+def test_a_trie_is_searched_only_for_probes_near_another_ids_key(monkeypatch):
+    import pandas as pd
+
+    searched, near = [], names.Trie.near
+    monkeypatch.setattr(names.Trie, "near", lambda trie, key, k: searched.append(key) or near(trie, key, k))
+    keys = [("x", 1, "silvermeadow"), ("x", 2, "goldenmeadow"), ("y", 3, "bananabread"), ("y", 4, "bredenbreda"), ("z", 5, "quietriver"), ("z", 6, "queitriver")]
+    rows = pd.DataFrame([(*r, probe) for s in "xyz" for probe in (0, 1) for r in keys if r[0] == s], columns=["shard", "id", "key", "probe"])
+    found = pd.concat(names._match(iter([rows[:5], rows[5:]])))
+    assert found.values.tolist() == [[5, 6], [6, 5]] and searched == ["quietriver", "queitriver"]
+
+
+def test_no_probe_within_the_bound_is_kept_from_the_trie():
+    rng = random.Random(9)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(3, 9))) for _ in "ab")
+        assert (names.letters_mask(a) ^ names.letters_mask(b)).bit_count() <= 2 * names.distance(a, b, 9)

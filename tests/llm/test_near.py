@@ -99,3 +99,10 @@ def test_minhash_values_are_the_least_over_all_occurrences():
         own = pitch[record == r].astype(np.int64).tolist()
         tokens = np.array([p + 256 * own[:i].count(p) for i, p in enumerate(own)], np.uint64)
         assert got[r].tolist() == [int(near._hashed(tokens, k).min()) & 255 for k in range(near.HASHES)]
+
+
+def test_product_of_a_record_with_itself_is_its_number_of_notes():
+    counts = np.random.RandomState(4).poisson(2, (50, 24)).astype(np.int32)
+    bound = near.product_columns(counts, 80)
+    assert bound.shape[1] <= 80 < 24 * counts.max()
+    np.testing.assert_allclose((bound * bound).sum(axis=1), counts.sum(axis=1), rtol=1e-5)
